@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import sharding
+from . import sharding, sstable
 
 
 def queries() -> dict[str, Callable]:
-    return {"op1_sharding": sharding.op1_sharding}
+    return {"op1_sharding": sharding.op1_sharding, "op4_sstable": sstable.op4_sstable}
 
 
 def oracle_sql() -> dict[str, str]:
