@@ -195,9 +195,10 @@ class WordEncoder:
 
     Byte-level pre-tokenization always parts a text before a space between two
     characters that are not white space, so the ids of the parts, joined, are
-    the ids of the text.  New words go to the tokenizer together, parted by the
-    end token; a text whose spaces touch other white space is split by
-    pattern instead.
+    the ids of the text.  A word of plain letters, less one mark at its end, is
+    one unit of the pre-tokenization and goes straight to the model; other new words
+    go to the tokenizer together, parted by the end token; a text whose spaces
+    touch other white space is split by pattern instead.
     """
 
     def __init__(self, path: str, end: str = "<|endoftext|>"):
@@ -212,6 +213,19 @@ class WordEncoder:
         self.first: dict[str, bytes] = {}
         self.odd = re.compile(r"\A\s|\s\Z|\A\Z").search
         self.parts = re.compile(r"(?<=\S) (?=\S)").split
+        self.letters = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+([.,;:!?]?)").fullmatch
+        self.model = self.tokenizer.model
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256
+        self.symbols = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(plain))}
+        self.ids = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,;:!?"} | {"": []}
+
+    def word(self, word: str, mark: str) -> bytes:
+        """Ids of a space and a word of letters with its end mark."""
+        import array
+
+        stem = " " + word[: len(word) - len(mark)]
+        unit = "\u0120" + stem[1:] if stem.isascii() else stem.encode().decode("latin-1").translate(self.symbols)
+        return array.array("H" if self.width == 2 else "I", [t.id for t in self.model.tokenize(unit)] + self.ids[mark]).tobytes()
 
     def raw(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -234,16 +248,21 @@ class WordEncoder:
     def learn(self, words: set[str], firsts: set[str]) -> None:
         if len(self.memory) > MEMORY_ENTRIES:
             self.memory.clear()
-        words = [w for w in words if w not in self.memory]
-        good = [w for w in words if not self.odd(w)]
-        self.memory |= dict.fromkeys(words)  # None: a space beside white space, or two
-        self.memory |= zip(good, self.raw([" " + w for w in good]), strict=True)
+        others = []
+        for w in words - self.memory.keys():
+            if m := self.letters(w):
+                self.memory[w] = self.word(w, m[1])
+            elif self.odd(w):
+                self.memory[w] = None  # a space beside white space, or two
+            else:
+                others.append(w)
+        self.memory |= zip(others, self.raw([" " + w for w in others]), strict=True)
         firsts = list(firsts)
         self.first = dict(zip(firsts, self.raw(firsts), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
-        self.learn({w for p in split for w in p[1:]}, {p[0] for p in split})
+        self.learn(set().union(*[p[1:] for p in split]), {p[0] for p in split})
         out, get = [], self.memory.__getitem__
         for text, p in zip(texts, split, strict=True):
             try:
