@@ -1,7 +1,4 @@
-"""Hashes of all words and n-grams of a text by array operations.
-
-Imported inside functions that run in Python workers only.
-"""
+"""Hashes of all words and n-grams of a text by array operations."""
 
 from __future__ import annotations
 
@@ -14,18 +11,23 @@ BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 BYTE_VALUES = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256).astype(np.uint64)
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def row_of_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and its inverse for i < n."""
-    if len(_powers[0]) < n:
-        most = max(n, 2 * len(_powers[0]))
-        for k, b in enumerate((BASE, BASE_INVERSE)):
-            row = np.full(most, b, np.uint64)
-            row[0] = 1
-            _powers[k] = np.cumprod(row, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+    out = []
+    for b in (BASE, BASE_INVERSE):
+        row = np.full(n, b, np.uint64)
+        row[:1] = 1
+        out.append(np.cumprod(row, dtype=np.uint64))
+    return out[0], out[1]
+
+
+POWERS = row_of_powers(1 << 14)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return (POWERS[0][:n], POWERS[1][:n]) if n <= len(POWERS[0]) else row_of_powers(n)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
