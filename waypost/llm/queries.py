@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontaminate, mixing, quality, sharding, simhash, sstable, toxicity
+from . import decontaminate, mixing, quality, secret_scan, sharding, simhash, sstable, toxicity
 
 
 def queries() -> dict[str, Callable]:
-    return {"op1_sharding": sharding.op1_sharding, "op2_simhash": simhash.op2_simhash, "op4_sstable": sstable.op4_sstable, "op6_mixing": mixing.op6_mixing, "op7_quality": quality.op7_quality, "op8_toxicity": toxicity.op8_toxicity, "op9_decontamination": decontaminate.op9_decontamination}
+    return {"op1_sharding": sharding.op1_sharding, "op2_simhash": simhash.op2_simhash, "op4_sstable": sstable.op4_sstable, "op5_secrets": secret_scan.op5_secrets, "op6_mixing": mixing.op6_mixing, "op7_quality": quality.op7_quality, "op8_toxicity": toxicity.op8_toxicity, "op9_decontamination": decontaminate.op9_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
