@@ -2,7 +2,8 @@
 
 Every round is a few shuffles of the edges; the smallest node of a component
 becomes its root.  Rounds grow with the logarithm of a component's size.  Edges
-of a hub are joined with one row for the hub, so Spark may split that side.
+of a hub are joined with one row for the hub from a written table, so Spark may split
+the side of the edges.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         was = is_now
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        least = shared.written(both.groupBy("u").agg(F.min("v").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.least("m", "u").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi != lo").union(low)

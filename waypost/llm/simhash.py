@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     """Per document: its id, ``fp`` and ``component_id``, the smallest id that links lead to."""
     fps = shared.written(fingerprints(docs, words, (id_col,), text_col), "documents-fp")
     labelled = shared.written(groups(fps, radius), "labels")
-    least = labelled.groupBy("label").agg(F.min(id_col).alias("component_id"))
+    least = shared.written(labelled.groupBy("label").agg(F.min(id_col).alias("component_id")), "least")
     return labelled.join(least, "label").select(id_col, "fp", "component_id")
 
 
