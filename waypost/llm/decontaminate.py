@@ -25,20 +25,20 @@ from pyspark.sql import functions as F
 from . import shared
 
 WINDOW = 10
-RAREST = 3
-BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+RAREST = 2
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    """Runs of digits, letters and everything beyond ASCII, A-Z lower-cased; none for null."""
-    return F.coalesce(F.array_remove(F.split(shared.ascii_lower(text), BETWEEN_WORDS), ""), F.array().cast("array<string>"))
+    """Runs of digits, letters and everything beyond ASCII, as written; none for null."""
+    return F.coalesce(F.array_remove(F.split(text, BETWEEN_WORDS), ""), F.array().cast("array<string>"))
 
 
 def benchmark_windows(items: DataFrame, length: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Distinct (item, phrase) of a benchmark; the phrase's words are joined by a space."""
     split = items.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("item"), words(F.col(f"`{text_col}`")).alias("w")).where("size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - length + 1, F.lit(1)))
-    return split.select("item", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, length), " "))).alias("phrase")).distinct()
+    return split.select("item", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, length), " "))).alias("phrase")).select("item", shared.ascii_lower(F.col("phrase")).alias("phrase")).distinct()
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -53,14 +53,14 @@ class Index:
     def __init__(self, docs: DataFrame, windows: DataFrame):
         phrases = windows.select("phrase").distinct().withColumn("terms", F.split("phrase", " "))
         vocabulary = shared.written(phrases.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
-        counts = docs.select(F.explode(words(F.col("text"))).alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("n"))
+        counts = docs.select(F.explode(words(F.col("text"))).alias("word")).select(shared.ascii_lower(F.col("word")).alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("n"))
         terms = phrases.select("phrase", F.size("terms").alias("length"), F.posexplode("terms").alias("offset", "term")).join(shared.written(counts, "counts"), "term")
         ranked = terms.groupBy("phrase", "length").agg(F.sort_array(F.collect_list(F.struct("n", "term", "offset"))).alias("by_n")).where("size(by_n) = length")
         rarest = F.transform(F.sequence(F.lit(0), F.lit(RAREST - 1)), lambda i: F.element_at("by_n", F.least(i + 1, F.col("length"))))
         self.probes = shared.written(ranked.select("phrase", "length", rarest.alias("probe")), "probes")
         indexed = shared.written(self.probes.select(F.explode("probe.term").alias("term")).distinct(), "terms")
-        tokens = docs.select("k1", "k2", F.posexplode(words(F.col("text"))).alias("pos", "term"))
-        self.postings = shared.written(tokens.join(indexed, "term").distinct(), "postings")
+        tokens = docs.select("k1", "k2", F.posexplode(words(F.col("text"))).alias("pos", "word")).select("k1", "k2", "pos", shared.ascii_lower(F.col("word")).alias("term"))
+        self.postings = shared.written(tokens.join(indexed, "term"), "postings")
 
     def places(self, slack: int = 0) -> DataFrame:
         """(k1, k2, start, phrase, length) where a window's rarest terms all stand, each at most ``slack`` from its place."""
@@ -76,7 +76,7 @@ class Index:
             shifted = shifted.withColumn("term", F.col("probe")[i]["term"])
             at = shifted.join(self.postings, ["k1", "k2", "term", "pos"], "left_semi").drop("term", "pos")
             at = at.distinct() if slack else at
-        return at.select("k1", "k2", "start", "phrase", "length")
+        return at.select("k1", "k2", "start", "phrase", "length")  # a repeated document's places are repeated, too
 
 
 def matches(docs: DataFrame, items: DataFrame, length: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -84,18 +84,32 @@ def matches(docs: DataFrame, items: DataFrame, length: int = WINDOW, id_col: str
     own = keyed(docs, id_col, text_col)
     windows = shared.written(benchmark_windows(items, length), "windows")
     places = Index(own, windows).places()
-    by_doc = places.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "length", "phrase")).alias("places"))
-    both = own.select("doc_id", "k1", "k2", words(F.col("text")).alias("w"), "text").drop("text").join(by_doc, ["k1", "k2"], "left")
-    exact = F.filter("places", lambda p: F.array_join(F.slice("w", p["start"] + 1, p["length"]), " ") == p["phrase"])
+    by_doc = shared.written(places.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "length", "phrase")).alias("places")), "places")
+    filtered = shared.with_filter(own, by_doc, "k1")
+    at = F.col("places")
+    exact = F.filter(at, lambda p: shared.ascii_lower(F.array_join(F.slice("w", p["start"] + 1, p["length"]), " ")) == p["phrase"])
     hit = F.array_distinct(F.flatten(F.transform("exact", lambda p: F.sequence(p["start"], p["start"] + p["length"] - 1))))
-    found = both.select("doc_id", "k1", "k2", F.size("w").cast("long").alias("n_words"), exact.alias("exact")).select(
+    none = filtered.where(~F.col("maybe")).select("doc_id", "k1", "k2", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast("array<string>").alias("phrases"))
+    some = filtered.where("maybe").join(by_doc, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "places", words(F.col("text")).alias("w"))
+    compared = some.select("doc_id", "k1", "k2", F.size("w").cast("long").alias("n_words"), exact.alias("exact")).select(
         "doc_id", "k1", "k2", "n_words",
         F.when(F.col("exact").isNull(), 0).otherwise(F.size(hit)).cast("long").alias("n_hit"),
         F.array_distinct("exact.phrase").alias("phrases"),
     )
+    found = none.union(compared)
     return shared.written(found, "found"), windows
 
 
+def clean(docs: DataFrame, items: DataFrame, length: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no window of the benchmark."""
+    found, _ = matches(docs, items, length, id_col, text_col)
+    hit = shared.written(found.where("n_hit > 0").select("k1", "k2").distinct(), "hit")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keys = [F.xxhash64(F.lit(i), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias(f"k{i}") for i in (1, 2)]
+    filtered = shared.with_filter(docs.select(row.alias("row"), *keys), hit, "k1")
+    return filtered.where(~F.col("maybe")).select("row.*").union(filtered.where("maybe").join(hit, ["k1", "k2"], "left_anti").select("row.*"))
+
+
 def contamination(docs: DataFrame, items: DataFrame, length: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items (sorted as strings)."""
     found, windows = matches(docs, items, length, id_col, text_col)
