@@ -63,7 +63,7 @@ def meet(a: Column, b: Column, level: int, seed: int) -> tuple[Column, Column]:
     room_a, mass_a = 1 - a["p"], a["p"]
     mass_b, room_b = b["p"] * ratio, (1 - b["p"]) * ratio
     gain, loss = F.least(room_a, mass_b), F.least(mass_a, room_b)
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), a["hash"], a["nth"], b["hash"], b["nth"]), F.lit(1 << 53)) / float(1 << 53)
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), a["h1"], a["nth"], b["h1"], b["nth"]), F.lit(1 << 53)) / float(1 << 53)
     gains = draw * (gain + loss) < loss
     new_a = F.when(gains, F.when(room_a <= mass_b, 1.0).otherwise(a["p"] + mass_b)).otherwise(F.when(mass_a <= room_b, 0.0).otherwise(a["p"] - room_b))
     new_b = F.when(gains, F.when(mass_b <= room_a, 0.0).otherwise(b["p"] - room_a / ratio)).otherwise(F.when(room_b <= mass_a, 1.0).otherwise(b["p"] + mass_a / ratio))
@@ -92,10 +92,9 @@ def settle(members: Column, kind: T.StructType, level: int, seed: int) -> Column
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 29, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """A row per row of ``docs``: id, hash (of all its columns), source, size, source_size, target, copies."""
-    columns = [F.col(f"`{c}`") for c in docs.columns if not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))]
-    sized = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), shared.word_count(F.col(f"`{text_col}`")).alias("size"), F.xxhash64(*columns).alias("hash"))
-    counted = shared.written(sized.groupBy("id", "source", "size", "hash").agg(F.count("*").alias("n")), "sizes")
+    """A row per row of ``docs``: id, h1 and h2 (hashes of all its columns), source, size, source_size, target, copies."""
+    sized = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), shared.word_count(F.col(f"`{text_col}`")).alias("size"), shared.row_hash(docs, 1).alias("h1"), shared.row_hash(docs, 2).alias("h2"))
+    counted = shared.written(sized.groupBy("id", "source", "size", "h1", "h2").agg(F.count("*").alias("n")), "sizes")
     units = counted.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
     targets = shared.written(source_targets(units, weights, most), "targets")
     most_docs = targets.agg(F.max("n_docs")).first()[0] or 0
@@ -103,14 +102,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     groups = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / FAN))
     same = units["source"].eqNullSafe(targets["source"])
     placed = units.join(targets, same).select(
-        "id", "hash", "nth", units["source"], "size", "source_size", "target",
+        "id", "h1", "h2", "nth", units["source"], "size", "source_size", "target",
         F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("p"),
-        F.pmod(F.xxhash64(F.lit(seed), "hash", "nth"), groups).alias("leaf"),
+        F.pmod(F.xxhash64(F.lit(seed), "h1", "nth"), groups).alias("leaf"),
     )
     fractional = (F.col("size") > 0) & (F.col("p") > 1e-12)
     keys = ["source", "source_size", "target"]
-    out = placed.where(~fractional).select("id", "hash", *keys, "size", F.col("whole").alias("copies"))
-    member = F.struct("size", "hash", "nth", "id", "whole", "p", "leaf")
+    out = placed.where(~fractional).select("id", "h1", "h2", *keys, "size", F.col("whole").alias("copies"))
+    member = F.struct("size", "h1", "h2", "nth", "id", "whole", "p", "leaf")
     level, width = 0, 1
     at = placed.where(fractional).select(*keys, member.alias("m"))
     while True:
@@ -124,7 +123,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
         rest = folded.where("s.open is not null").select(*keys, F.col("s.open").alias("m"))
         if last:
             done = done.union(rest)
-        out = out.union(done.select("m.id", "m.hash", *keys, "m.size", (F.col("m.whole") + (F.col("m.p") >= 0.5).cast("long")).alias("copies")))
+        out = out.union(done.select("m.id", "m.h1", "m.h2", *keys, "m.size", (F.col("m.whole") + (F.col("m.p") >= 0.5).cast("long")).alias("copies")))
         if last:
             return out
         at, level, width = rest, level + 1, width * FAN
@@ -132,14 +131,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    columns = [F.col(f"`{c}`") for c in docs.columns if not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))]
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    taken = mix(docs, **settings).groupBy("hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0")
-    found = docs.select(row.alias("row"), F.xxhash64(*columns).alias("hash")).join(taken, "hash")
-    single = found.where("n = 1").select("row", "copies")
-    repeated = found.where("n > 1").dropDuplicates(["hash"]).select("row", "copies")
-    each = F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("__nth")
-    return single.union(repeated).select("row", each).select("row.*")
+    taken = mix(docs, **settings).groupBy("h1", "h2").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0")
+    found = shared.rows_with(docs, shared.written(taken, "taken"), "copies")
+    return found.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
