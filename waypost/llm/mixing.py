@@ -4,11 +4,16 @@ A source's target divided by its size is the number of copies every document of
 it should get.  The whole part is given outright.  The fractions meet
 in pairs: one document gains and the other loses, by equal numbers of words and in a
 random direction that leaves both expectations as they are, until one of them is
-whole.  So words taken stay exact all the way, and the one document of a
+whole.  So words taken stay exact all the way, and only the one document of a
 source that remains fractional at the very end is rounded to the nearer
-side.  Pairs form a reduction tree: documents are dealt by a seeded hash into
-groups of about ``FAN``, a group keeps at most one fractional document, and
-these meet in the next level.
+side, which other documents at the root make up for as far as their sizes allow.
+
+Pairs form a reduction tree.  Documents of a source and of about one size are dealt
+by a seeded hash into groups of about ``FAN``; a group keeps at most one
+fractional document, and groups meet in the next level until at most
+``LAST_OF_BAND`` documents of that size are left.  The root takes a source's
+remaining documents from the largest to the smallest, so what is rounded in the
+end is small.
 
 Only DataFrame operations; nothing but one number (the largest source's count)
 reaches the driver, and the only tasks that see all of anything see a row for each source.
@@ -27,19 +32,21 @@ from pyspark.sql import types as T
 
 from . import shared
 
-FAN = 32
+FAN = 16
+#: Fractional documents of about one size that a source's root takes; with all sizes a thousand or so.
+LAST_OF_BAND = 64
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """Per source: source_size, target and the number of documents with words.
+    """Per source: source_size and target.
 
     Shares of the total by weight, but no more than ``most`` times a source's
     size.  In the order of size by weight, the sources at their limit come
     first, so running sums tell where sharing the rest stays below it.
     """
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum((F.col("size") > 0).cast("long")).alias("n_docs"))
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weighed = per.withColumn("weight", F.get(F.array(*[F.lit(w) for w in weights]), (rank % len(weights)).cast("int")).cast("long"))
     limit = F.col("source_size") * most
@@ -54,7 +61,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     shared_out = ranked.select("*", F.min(free).over(whole).alias("free"))
     over = F.col("free").isNull() | (F.col("place") < F.col("free.place"))
     target = F.when(over, limit.cast("double")).otherwise((F.col("free.left") * F.col("weight")).cast("double") / F.col("free.left_weight"))
-    return shared_out.select("source", "source_size", "n_docs", target.alias("target"))
+    return shared_out.select("source", "source_size", target.alias("target"))
 
 
 def meet(a: Column, b: Column, level: int, seed: int) -> tuple[Column, Column]:
@@ -91,42 +98,63 @@ def settle(members: Column, kind: T.StructType, level: int, seed: int) -> Column
     return F.aggregate(F.sort_array(members, asc=False), state(F.lit(None), F.array().cast(T.ArrayType(kind))), merge)
 
 
+def repaired(left: Column, done: Column, kind: T.StructType) -> Column:
+    """All members of a root.  The fractional one is rounded to the nearer side, and the words this costs are made up by turning others, largest first, while any fits."""
+    turned = lambda x: F.struct(*[(1 - x["p"]).alias("p") if f == "p" else x[f].alias(f) for f in kind.names]).cast(kind)
+    need = F.coalesce((left["p"] - F.when(left["p"] >= 0.5, 1.0).otherwise(0.0)) * left["size"], F.lit(0.0))
+    state = lambda n, d: F.struct(n.cast("double").alias("need"), d.cast(T.ArrayType(kind)).alias("done"))
+
+    def merge(acc: Column, x: Column) -> Column:
+        step = F.when(x["p"] >= 0.5, -x["size"]).otherwise(x["size"]).cast("double")
+        fits = (step * acc["need"] > 0) & (F.abs(step) <= F.abs(acc["need"]))
+        return F.when(fits, state(acc["need"] - step, F.concat(acc["done"], F.array(turned(x))))).otherwise(state(acc["need"], F.concat(acc["done"], F.array(x))))
+
+    start = F.when(left.isNull(), F.array().cast(T.ArrayType(kind))).otherwise(F.array(left.cast(kind)))
+    return F.aggregate(F.sort_array(done, asc=False), state(need, start), merge)["done"]
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 29, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """A row per row of ``docs``: id, h1 and h2 (hashes of all its columns), source, size, source_size, target, copies."""
     sized = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), shared.word_count(F.col(f"`{text_col}`")).alias("size"), shared.row_hash(docs, 1).alias("h1"), shared.row_hash(docs, 2).alias("h2"))
     counted = shared.written(sized.groupBy("id", "source", "size", "h1", "h2").agg(F.count("*").alias("n")), "sizes")
-    units = counted.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
-    targets = shared.written(source_targets(units, weights, most), "targets")
-    most_docs = targets.agg(F.max("n_docs")).first()[0] or 0
+    band = F.length(F.bin("size")).alias("band")  # sizes of a band differ by a factor of two at most
+    units = counted.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n").select("*", band)
+    per_band = units.groupBy(F.col("source").alias("s"), F.col("band").alias("b")).agg(F.count("*").alias("n_band"))
+    targets = source_targets(units, weights, most)
+    bands = shared.written(targets.join(per_band, targets["source"].eqNullSafe(per_band["s"])).drop("source"), "bands")
+    largest = bands.agg(F.max("n_band")).first()[0] or 0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    groups = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / FAN))
-    same = units["source"].eqNullSafe(targets["source"])
-    placed = units.join(targets, same).select(
-        "id", "h1", "h2", "nth", units["source"], "size", "source_size", "target",
+    groups = F.when(F.col("n_band") > LAST_OF_BAND, F.ceil(F.col("n_band") / FAN)).otherwise(F.lit(0))
+    placed = units.join(bands, units["source"].eqNullSafe(F.col("s")) & (units["band"] == F.col("b"))).select(
+        "id", "h1", "h2", "nth", "source", "size", "source_size", "target", "band", groups.alias("groups"),
         F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("p"),
-        F.pmod(F.xxhash64(F.lit(seed), "h1", "nth"), groups).alias("leaf"),
+        F.when(groups > 0, F.pmod(F.xxhash64(F.lit(seed), "h1", "nth"), groups)).alias("leaf"),
     )
     fractional = (F.col("size") > 0) & (F.col("p") > 1e-12)
     keys = ["source", "source_size", "target"]
     out = placed.where(~fractional).select("id", "h1", "h2", *keys, "size", F.col("whole").alias("copies"))
-    member = F.struct("size", "h1", "h2", "nth", "id", "whole", "p", "leaf")
-    level, width = 0, 1
-    at = placed.where(fractional).select(*keys, member.alias("m"))
-    while True:
-        kind = at.schema["m"].dataType
-        nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in kind.fields])
-        at = at.select(*keys, F.col("m").cast(nullable).alias("m"))
-        last = width * FAN >= max(1, -(-most_docs // FAN)) * FAN
-        group = F.floor(F.col("m.leaf") / width).cast("long")
-        folded = shared.written(at.groupBy(*keys, group.alias("g")).agg(settle(F.collect_list("m"), nullable, level, seed).alias("s")), f"level-{level}")
-        done = folded.select(*keys, F.explode("s.done").alias("m"))
-        rest = folded.where("s.open is not null").select(*keys, F.col("s.open").alias("m"))
-        if last:
-            done = done.union(rest)
-        out = out.union(done.select("m.id", "m.h1", "m.h2", *keys, "m.size", (F.col("m.whole") + (F.col("m.p") >= 0.5).cast("long")).alias("copies")))
-        if last:
-            return out
-        at, level, width = rest, level + 1, width * FAN
+    kind = T.StructType([T.StructField(n, t, True) for n, t in (("size", T.LongType()), ("h1", T.LongType()), ("h2", T.LongType()), ("nth", T.LongType()), ("id", placed.schema["id"].dataType), ("whole", T.LongType()), ("p", T.DoubleType()))])
+    member = F.struct(*kind.names).cast(kind)
+    copies = (F.col("m.whole") + (F.col("m.p") >= 0.5).cast("long")).alias("copies")
+    settled = lambda rows: rows.select("m.id", "m.h1", "m.h2", *keys, "m.size", copies)
+
+    start = placed.where(fractional).select(*keys, "band", "groups", "leaf", member.alias("m"))
+    last = start.where("groups = 0")
+    at = start.where("groups > 0")
+    level, width, left = 0, 1, -(-largest // FAN) if largest > LAST_OF_BAND else 0
+    while left:
+        by = [*keys, "band", "groups", F.floor(F.col("leaf") / width).cast("long").alias("g")]
+        folded = shared.written(at.groupBy(*by).agg(settle(F.collect_list("m"), kind, level, seed).alias("s")), f"level-{level}")
+        out = out.union(settled(folded.select(*keys, F.explode("s.done").alias("m"))))
+        rest = folded.where("s.open is not null").select(*keys, "band", "groups", (F.col("g") * width).alias("leaf"), F.col("s.open").alias("m"))
+        ready = F.ceil(F.col("groups") / width) <= LAST_OF_BAND
+        last = last.union(rest.where(ready))
+        at = rest.where(~ready)
+        left = 0 if left <= LAST_OF_BAND else -(-left // FAN)
+        level, width = level + 1, width * FAN
+    root = last.groupBy(*keys).agg(settle(F.collect_list("m"), kind, level, seed).alias("s"))
+    ended = shared.written(root.select(*keys, repaired(F.col("s.open"), F.col("s.done"), kind).alias("ms")), "root")
+    return out.union(settled(ended.select(*keys, F.explode("ms").alias("m"))))
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
