@@ -95,20 +95,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: in
     return texts.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
-def descend(indptr, at, share, y, rate: float = 0.5, rounds: int = 150, l2: float = 1e-5):
-    """Logistic regression on sparse rows by accelerated full-batch gradients."""
+def margins(indptr, at, share, weights, bias):
     import numpy as np
 
-    lengths = np.diff(indptr)
-    weights, bias = np.zeros(DIMENSIONS), 0.0
+    return np.add.reduceat(share * weights[at], indptr[:-1]) + bias
+
+
+def descend(blocks: list, n: int, rate: float = 0.5, rounds: int = 150, l2: float = 1e-5):
+    """Logistic regression on blocks of sparse rows (indptr, at, share, y) by accelerated full-batch gradients."""
+    import numpy as np
+
+    weights, bias = np.zeros(DIMENSIONS, np.float32), 0.0
     m, v = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
     for t in range(1, rounds + 1):
-        z = np.add.reduceat(share * weights[at], indptr[:-1]) + bias
-        g = (1 / (1 + np.exp(-z)) - y) / len(y)
-        grad = np.append(np.bincount(at, weights=share * np.repeat(g, lengths), minlength=DIMENSIONS) + l2 * weights, g.sum())
+        grad = np.append(l2 * weights, 0.0)
+        for indptr, at, share, y in blocks:
+            g = ((1 / (1 + np.exp(-margins(indptr, at, share, weights, bias))) - y) / n).astype(np.float32)
+            grad += np.append(np.bincount(at, weights=share * np.repeat(g, np.diff(indptr)), minlength=DIMENSIONS), g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        weights, bias = weights - step[:-1], bias - step[-1]
+        weights, bias = (weights - step[:-1]).astype(np.float32), bias - step[-1]
     return weights, bias
 
 
@@ -134,27 +140,26 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int
     import numpy as np
 
     sample = labelled_sample(docs, labels, "quality", rows, seed, id_col, text_col)
-    got = sample.select("y", "text").mapInArrow(sample_features, "y int, at array<int>, share array<float>").toArrow()
-    got = got.filter([bool(len(x)) for x in got.column("at").to_pylist()]) if got.num_rows else got
-    y = np.array(got.column("y").to_pylist(), np.float64)
-    if len(y) < 20 or not 0 < y.sum() < len(y):
-        return None
-    at, share = got.column("at").combine_chunks(), got.column("share").combine_chunks()
-    lengths = np.diff(at.offsets.to_numpy())
-    flat_at, flat_share = at.flatten().to_numpy(), share.flatten().to_numpy().astype(np.float64)
+    got = sample.select("id", "y", "text").orderBy("id").select("y", "text").mapInArrow(sample_features, "y int, at array<int>, share array<float>").where("size(at) > 0").toArrow()
+    y = got.column("y").to_numpy().astype(np.float64)
     order = np.random.Generator(np.random.PCG64(seed)).random(len(y)) < 0.75
-    if not 0 < y[order].sum() < order.sum():
+    if len(y) < 20 or not 0 < y[order].sum() < order.sum() or not 0 < y[~order].sum() < (~order).sum():
         return None
 
-    def part(rows):
-        keep = np.repeat(rows, lengths)
-        return np.concatenate([[0], np.cumsum(lengths[rows])]), flat_at[keep], flat_share[keep]
-
-    weights, bias = descend(*part(order), y[order])
-    indptr, a, s = part(~order)
-    z = np.add.reduceat(s * weights[a], indptr[:-1]) + bias
-    slope, offset = platt(z, y[~order])
-    return {"weights": weights.astype(np.float32), "bias": float(bias), "slope": slope, "offset": offset}
+    def blocks(rows):
+        """(indptr, at, share, y) of some rows, a few hundred at a time."""
+        out = []
+        for part in np.array_split(np.flatnonzero(rows), -(-rows.sum() // 300)):
+            some = got.take(part)
+            at, share = some.column("at").combine_chunks(), some.column("share").combine_chunks()
+            out.append((np.concatenate([[0], np.cumsum(np.diff(at.offsets.to_numpy()))]), at.flatten().to_numpy(), share.flatten().to_numpy(), y[part]))
+        return out
+
+    fit = blocks(order)
+    weights, bias = descend(fit, int(order.sum()))
+    z = np.concatenate([margins(*block[:3], weights, bias) for block in blocks(~order)])
+    slope, offset = platt(z.astype(np.float64), y[~order])
+    return {"weights": weights, "bias": float(bias), "slope": slope, "offset": offset}
 
 
 def judged(model: dict | None, text: str | None) -> tuple[list[int], bool, float]:
