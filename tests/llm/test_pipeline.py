@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 from helpers_llm import DOCS, prose
 from test_decontaminate import brute as contaminated
-from test_simhash import brute_components, brute_fingerprint
+from test_neardup import brute_groups
 from tokenizers import Tokenizer
 
 from waypost.llm import quality
@@ -21,10 +21,10 @@ def test_stages_against_brute_force(spark, rows, folder):
     at = folder(documents=(data, DOCS), benchmark=(items, "item_id long, text string"), labels=([], "doc_id long, quality int, toxic int"))
 
     good = [r for r in data if not quality.base_failed(quality.measure((r[1] or "").encode())[0])]
-    roots = brute_components([brute_fingerprint(r[1], 5) for r in good], 4)
+    roots = brute_groups([r[1] for r in good])
     first = {}
     for r in sorted(set(good), key=lambda r: (r[0] is not None, r[0] or 0)):
-        first.setdefault(roots[brute_fingerprint(r[1], 5)], r)
+        first.setdefault(roots[r[1]], r)
     clean = [r for r in first.values() if not contaminated([r], items)[0][-1]]
 
     docs, seen = spark.read.parquet(f"{at}/documents.parquet"), []
