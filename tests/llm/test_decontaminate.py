@@ -53,6 +53,11 @@ def test_contract(spark, rows, folder):
     assert 10 < sum(w[-1] for w in want) < len(want)
 
 
+def test_as_sql(spark, compare):
+    d = "/root/testdata/sf0.001"
+    compare(decontaminate.op9_decontamination(spark, d), decontaminate.ORACLE, d)
+
+
 def test_clean(spark, docs):
     data, items = planted(random.Random(6))
     more = with_clashes(spark.createDataFrame(data, DOCS))

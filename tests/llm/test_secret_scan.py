@@ -40,6 +40,20 @@ def test_contract(spark, rows, folder):
     assert spans[1005] == ""
 
 
+def test_as_sql(spark, folder, compare):
+    import duckdb
+
+    at = folder(documents=([(i, t, "en", "s", 1) for i, t in enumerate([*TEXTS, None])], DOCS))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet/*.parquet'")
+    found = con.execute(secret_scan.oracle())
+    names = [x[0] for x in found.description]
+    got = secret_scan.op5_secrets(spark, at)
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(tuple(r[n] for n in names) for r in got.collect()) == sorted(found.fetchall())
+    compare(secret_scan.op5_secrets(spark, "/root/testdata/sf0.001"), secret_scan.oracle(), "/root/testdata/sf0.001")
+
+
 def brute_links(found, scope):
     out = []
     for kind, a, b in found:

@@ -132,3 +132,17 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all ``documents`` inside windows of ``benchmark``."""
     found = contamination(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{shared.UPPER}', '{shared.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (SELECT item_id, coalesce(regexp_extract_all(translate(text, '{shared.UPPER}', '{shared.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark),
+windows AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, len(w[i:i + 9]) AS n, array_to_string(w[i:i + 9], ' ') AS phrase FROM b, LATERAL unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS r(i) WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM windows),
+runs AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM d CROSS JOIN lengths, LATERAL unnest(range(1, len(w) - n + 2)) AS r(i)),
+hits AS (SELECT doc_id, i, runs.n, item FROM runs JOIN windows USING (phrase)),
+words_hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words_hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

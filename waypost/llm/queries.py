@@ -12,4 +12,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": conversations.ORACLE}
+    return {"op3_chat": conversations.ORACLE, "op5_secrets": secret_scan.oracle(), "op9_decontamination": decontaminate.ORACLE}

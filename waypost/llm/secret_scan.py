@@ -27,17 +27,19 @@ from . import shared
 
 SCOPE = 200
 _GIVEN = r"""["']?\x20*[:=]\x20*["']?"""
+#: No ASCII letter, digit or underscore before.
+_EDGE = r"(?<![A-Za-z0-9_])"
 #: Kind: (pattern, group that is measured, least code points of it, part, whether it is reported alone). In order of rank.
 KINDS = {
     "assign": (rf"(?i:(password|passwd|secret|token|api_?key)){_GIVEN}([A-Za-z0-9+/_.=-]+)", 2, 8, "secret", True),
     "access": (r"AKIA[A-Z0-9]+", 0, 16, "identifier", True),
     "hex": (r"[0-9a-f]{32,}", 0, 32, "secret", True),
-    "weak_identifier": (rf"(?i:\b(user_?name|user_?id|client_?id|account|login|key_?id)){_GIVEN}([A-Za-z0-9_.@+-]+)", 2, 3, "identifier", False),
-    "weak_secret": (rf"(?i:(password|passwd|secret|token|api_?key|\bpwd|passphrase|\bpin|signature|credential)){_GIVEN}([A-Za-z0-9+/_.=-]+)", 2, 4, "secret", False),
-    "endpoint": (r"""\b(?i:(https?|ftps?|sftp|ssh|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|wss?))://([^\x00-\x20"'<>]+)|\b(?i:(?:host|endpoint|server)[:=])[A-Za-z0-9.-]+""", 0, 8, "endpoint", False),
+    "weak_identifier": (rf"(?i:{_EDGE}(user_?name|user_?id|client_?id|account|login|key_?id)){_GIVEN}([A-Za-z0-9_.@+-]+)", 2, 3, "identifier", False),
+    "weak_secret": (rf"(?i:(password|passwd|secret|token|api_?key|{_EDGE}pwd|passphrase|{_EDGE}pin|signature|credential)){_GIVEN}([A-Za-z0-9+/_.=-]+)", 2, 4, "secret", False),
+    "endpoint": (rf"""{_EDGE}(?i:(https?|ftps?|sftp|ssh|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|wss?))://([^\x00-\x20"'<>]+)|{_EDGE}(?i:(?:host|endpoint|server)[:=])[A-Za-z0-9.-]+""", 0, 8, "endpoint", False),
 }
 #: A text without any of these has no candidate of any kind.
-HINT = r"(?i:passw|passphrase|secret|token|api_?key|credential|signature|\bpwd|\bpin|akia|user_?name|user_?id|client_?id|account|login|key_?id|://|host[:=]|endpoint[:=]|server[:=])|[0-9a-f]{32}"
+HINT = r"(?i:passw|passphrase|secret|token|api_?key|credential|signature|pwd|pin|akia|user_?name|user_?id|client_?id|account|login|key_?id|://|host[:=]|endpoint[:=]|server[:=])|[0-9a-f]{32}"
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -104,3 +106,30 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(kind) for kind in ("assign", "access", "hex")]
     return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+def oracle() -> str:
+    """The query in SQL for DuckDB; its patterns know a word's edge, but no looking behind."""
+    parts = []
+    for kind, (pattern, group, least, part, alone) in KINDS.items():
+        p = pattern.replace(_EDGE, r"\b").replace("'", "''")
+        parts.append(
+            f"SELECT doc_id, '{kind}' AS kind, '{part}' AS part, {str(alone).lower()} AS alone, unnest(range(1, len(m) + 1)) AS nth, unnest(list_transform(m, lambda x: length(x))) AS n, unnest(list_transform(v, lambda x: length(x) >= {least})) AS fits, unnest(g[:len(m)]) AS gap FROM "
+            f"(SELECT doc_id, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {group}) AS v, list_transform(string_split_regex(t, '{p}'), lambda x: length(x)) AS g FROM texts)"
+        )
+    rank = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS, 1)) + " END"
+    text = lambda only: f"coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, {rank}){only}, '')"
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+pieces AS ({" UNION ALL ".join(parts)}),
+placed AS (SELECT *, sum(gap + n) OVER (PARTITION BY doc_id, kind ORDER BY nth) AS e FROM pieces),
+found AS (SELECT doc_id, kind, part, alone, CAST(e - n AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM placed WHERE fits),
+kept AS (
+  SELECT * FROM found WHERE alone UNION ALL
+  SELECT * FROM found AS w WHERE NOT alone
+  AND NOT EXISTS (SELECT 1 FROM found AS b WHERE b.alone AND b.doc_id = w.doc_id AND b.s = w.s AND b.e = w.e)
+  AND EXISTS (SELECT 1 FROM found AS o WHERE o.doc_id = w.doc_id AND o.part <> w.part AND (o.part = 'secret' OR w.part = 'secret') AND o.s <= w.s + {SCOPE} AND o.e >= w.s - {SCOPE}))
+SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256({text(" FILTER (alone)")}) AS base_sha256, {text(" FILTER (kind IS NOT NULL)")} AS spans
+FROM texts LEFT JOIN kept USING (doc_id) GROUP BY doc_id
+"""
