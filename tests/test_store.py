@@ -230,6 +230,45 @@ def test_value_lookup(store):
     assert paths(scan.find_by_condition(store.endpoints, "<", "b", "users.*.name")) == ["users.u1.name"]
 
 
+def test_value_index(spark, store, tmp_path):
+    from waypost.operators.value_index import ValueIndex
+
+    index = ValueIndex(store.endpoints)
+    paths = lambda df: sorted(r["path"] for r in df.collect())
+    assert paths(index.find_by_value("alice")) == []
+    index.register("users.*.name")
+    index.register("users.*.age")
+    assert index.covers("users.u1.name") and not index.covers("users.u1.active")
+    for _ in range(2):
+        assert paths(index.find_by_value("alice")) == ["users.u1.name"] and paths(index.find_by_value(True)) == []
+        assert paths(index.find_by_condition("<=", 5)) == ["users.u2.age", "users.u3.age"]
+        index.materialize(str(tmp_path / "index"))
+    index.unregister("users.*.name")
+    assert paths(index.find_by_value("alice")) == []
+    index.clear()
+    assert paths(index.rows()) == []
+
+
+def test_access_rules(store):
+    from waypost.operators import access
+
+    paths = lambda rules, **k: {r["path"] for r in access.visible(store.endpoints, rules, **k).collect()}
+    assert paths([]) == set() and len(paths([], otherwise=True)) == len(USERS)
+    assert paths([("users.**", True), ("users.*.age", False), ("users.u2.age", True)]) == {p for p in USERS if p.startswith("users.") and (not p.endswith(".age") or p == "users.u2.age")}
+    assert paths([("users.*.name", False)], otherwise=True) == {p for p in USERS if not p.endswith(".name")}
+
+
+def test_clear(spark, tmp_path):
+    memory, kept = EndpointStore.in_memory(spark, {"a.b": 1}), EndpointStore.open(spark, str(tmp_path / "s"))
+    kept.set("a.b", 1)
+    for store in (memory, kept):
+        store.clear()
+        assert store.count() == 0
+        store.set("a.c", 2)
+        assert store.get_entity("a") == {"c": 2}
+    assert EndpointStore.open(spark, str(tmp_path / "s")).count() == 0
+
+
 def test_json_codec(spark):
     for told, value in ((5, 5), (5.0, 5.0), (1 << 64, float(1 << 64)), (True, True), (None, None), ("x", "x"), ([1, "a"], '[1,"a"]'), ({"a": 1}, '{"a":1}'), ({"type": "reference", "path": "a.b"}, V.Reference("a.b")), ({"type": "binary", "data": "AQI=", "mime": "m"}, V.Binary(b"\x01\x02", "m"))):
         got = V.json_to_value(told)

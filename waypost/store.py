@@ -173,6 +173,15 @@ class EndpointStore:
     def find_by_value(self, value: Any, pattern: str | None = None) -> DataFrame:
         return scan.find_by_value(self.endpoints, value, pattern)
 
+    def clear(self) -> None:
+        """Forgets everything; a folder's files stay and the deletions go to its log with the next flush."""
+        if self.path is None:
+            self.base, self.log, self.pending = self.spark.createDataFrame([], V.ENDPOINT_SCHEMA), None, {}
+            return
+        self.flush()
+        gone = self._stored().withColumns({"seq": F.lit(self.next_seq).cast("long"), "deleted": F.lit(True), "ts": F.current_timestamp()})
+        self._append(gone.select(*[f.name for f in V.LOG_SCHEMA.fields]))
+
     def ql(self, text: str) -> Any:
         return planner.execute(self, text)
 
