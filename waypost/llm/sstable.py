@@ -193,88 +193,78 @@ class ShardReader:
 class WordEncoder:
     """A tokenizer's ids of whole texts, with every distinct word encoded once.
 
-    Byte-level pre-tokenization always parts a text before a space between two
-    characters that are not white space, so the ids of the parts, joined, are
-    the ids of the text.  A word of plain letters, less one mark at its end, is
-    one unit of the pre-tokenization and goes straight to the model; other new words
-    go to the tokenizer together, parted by the end token; a text whose spaces
-    touch other white space is split by pattern instead.
+    Byte-level pre-tokenization always parts a text before a space, and around a
+    line end, between two characters that are not white space, so the ids of the
+    parts, joined, are the ids of the text.  A word of plain letters, less one mark at its end, is
+    one unit of the pre-tokenization and goes straight to the model, any other word
+    to the tokenizer; a text whose spaces touch other white space is split by
+    pattern instead.
     """
 
-    def __init__(self, path: str, end: str = "<|endoftext|>"):
+    def __init__(self, path: str):
         import re
 
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.end, self.end_id = end, self.tokenizer.token_to_id(end)
-        self.memory: dict[str, bytes | None] = {}
-        self.first: dict[str, bytes] = {}
+        #: Ids of words after a space, and of words that begin a text or line.
+        self.memory, self.first = Words(self, " "), Words(self, "")
         self.odd = re.compile(r"\A\s|\s\Z|\A\Z").search
         self.parts = re.compile(r"(?<=\S) (?=\S)").split
         self.letters = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+([.,;:!?]?)").fullmatch
         self.model = self.tokenizer.model
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids[0].to_bytes(self.width, "little")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256
         self.symbols = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(plain))}
         self.ids = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,;:!?"} | {"": []}
 
-    def word(self, word: str, mark: str) -> bytes:
-        """Ids of a space and a word of letters with its end mark."""
+    def word(self, word: str, mark: str, space: str) -> bytes:
+        """Ids of a word of letters with its end mark, after a space or nothing."""
         import array
 
-        stem = " " + word[: len(word) - len(mark)]
-        unit = "\u0120" + stem[1:] if stem.isascii() else stem.encode().decode("latin-1").translate(self.symbols)
+        stem = word[: len(word) - len(mark)] if mark else word
+        unit = ("\u0120" if space else "") + (stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.symbols))
         return array.array("H" if self.width == 2 else "I", [t.id for t in self.model.tokenize(unit)] + self.ids[mark]).tobytes()
 
     def raw(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+        import array
 
-        kind = "<u2" if self.width == 2 else "<u4"
-        plain = [t for t in texts if self.end not in t]
-        out = {}
-        for i in range(0, len(plain), 50_000):
-            part = plain[i : i + 50_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.end.join(part)], add_special_tokens=False)[0].ids, dtype=np.int64)
-            stops = np.flatnonzero(ids == self.end_id)
-            data = ids.astype(kind).tobytes()
-            edges = zip([0, *(stops + 1).tolist()], [*stops.tolist(), len(ids)], strict=True)
-            out |= {t: data[a * self.width : b * self.width] for t, (a, b) in zip(part, edges, strict=True)}
-        for t in texts:
-            if t not in out:
-                out[t] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=kind).tobytes()
-        return [out[t] for t in texts]
-
-    def learn(self, words: set[str], firsts: set[str]) -> None:
-        if len(self.memory) > MEMORY_ENTRIES:
-            self.memory.clear()
-        others = []
-        for w in words - self.memory.keys():
-            if m := self.letters(w):
-                self.memory[w] = self.word(w, m[1])
-            elif self.odd(w):
-                self.memory[w] = None  # a space beside white space, or two
-            else:
-                others.append(w)
-        self.memory |= zip(others, self.raw([" " + w for w in others]), strict=True)
-        firsts = list(firsts)
-        self.first = dict(zip(firsts, self.raw(firsts), strict=True))
+        kind = "H" if self.width == 2 else "I"
+        return [array.array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        self.learn(set().union(*[p[1:] for p in split]), {p[0] for p in split})
-        out, get = [], self.memory.__getitem__
-        for text, p in zip(texts, split, strict=True):
+        for memory in (self.memory, self.first):
+            if len(memory) > MEMORY_ENTRIES:
+                memory.clear()
+        out, first, get = [], self.first.__getitem__, self.memory.__getitem__
+        for text in texts:
             try:
-                if len(p) > 1 and (not p[0] or self.odd(p[0])):
-                    raise TypeError
-                out.append(self.first[p[0]] + b"".join(map(get, p[1:])))
+                lines = [line.split(" ") for line in text.split("\n")]
+                out.append(self.newline.join([b"".join([first(p[0]), *map(get, p[1:])]) for p in lines]) if text else b"")
             except TypeError:
                 pieces = self.parts(text)
                 out.append(b"".join(self.raw([pieces[0], *(" " + x for x in pieces[1:])])))
         return out
 
 
+class Words(dict):
+    """Ids of words that follow ``space``, made when first asked for; None where white space meets white space or an end of the text."""
+
+    def __init__(self, encoder: WordEncoder, space: str):
+        super().__init__()
+        self.encoder, self.space = encoder, space
+
+    def __missing__(self, word: str) -> bytes | None:
+        e = self.encoder
+        if m := e.letters(word):
+            found = e.word(word, m[1], self.space)
+        else:
+            found = None if e.odd(word) else e.raw([self.space + word])[0]
+        self[word] = found
+        return found
+
+
 def shard_writer(folder: str, tokenizer_path: str) -> Callable:
     def run(batches):
         import uuid
