@@ -72,3 +72,27 @@ def char_grams(data: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         out = (out << np.uint64(8)) | wide[k : len(data) - n + 1 + k]
     return mixed(out)
+
+
+_ONES = np.uint64(0x0101010101010101)
+
+
+def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """SimHash fingerprints of rows of hashes, of which the first ``sizes`` count and the others are zero: a bit is set if it is in over half of them.
+
+    A byte's lane counts one bit of up to 255 hashes at once.
+    """
+    f, n = hashes.shape
+    counts = np.zeros((f, 8, 8), np.int64)  # row, bit in byte, byte
+    step = 255 * 64
+    for i in range(0, n, step):
+        part = hashes[:, i : i + step]
+        blocks = -(-part.shape[1] // 255)
+        if part.shape[1] % 255:
+            part = np.concatenate([part, np.zeros((f, blocks * 255 - part.shape[1]), np.uint64)], axis=1)
+        part = part.reshape(f, blocks, 255)
+        for bit in range(8):
+            lanes = ((part >> np.uint64(bit)) & _ONES).sum(axis=2, dtype=np.uint64)
+            counts[:, bit] += np.ascontiguousarray(lanes).view(np.uint8).reshape(f, blocks, 8).sum(axis=1, dtype=np.int64)
+    bits = 2 * counts > np.asarray(sizes).reshape(f, 1, 1)
+    return np.packbits(bits.transpose(0, 2, 1).reshape(f, 64), axis=1, bitorder="little").view("<u8").reshape(f)

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import components as cc
+from . import hashing as H
 from . import shared
 
 BITS = 64
@@ -44,8 +45,7 @@ def fingerprinter(k: int, n_keys: int) -> Callable:
         import xxhash
 
         lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-        ones, digest = np.uint64(0x0101010101010101), xxhash.xxh64_intdigest
-        shifts = [np.uint64(i) for i in range(8)]
+        digest = xxhash.xxh64_intdigest
 
         def fingerprint(text):
             words = text.encode().translate(lower).split() if text else []
@@ -58,12 +58,7 @@ def fingerprinter(k: int, n_keys: int) -> Callable:
             ends = np.cumsum(lengths + 1) - 1
             starts = ends - lengths
             hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[: n - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64)
-            counts = np.zeros((8, 8), np.int64)  # bit in byte, byte
-            for i in range(0, len(hashes), 255):
-                part = hashes[i : i + 255]
-                for bit, shift in enumerate(shifts):
-                    counts[bit] += ((part >> shift) & ones).sum(dtype=np.uint64).reshape(1).view(np.uint8)
-            return sum(1 << (8 * byte + bit) for bit, byte in np.argwhere(2 * counts > len(hashes)).tolist())
+            return int(H.majority(hashes[None, :], [len(hashes)])[0])
 
         for batch in batches:
             found = np.array([fingerprint(t) for t in batch.column(n_keys).to_pylist()], np.uint64).view(np.int64)
