@@ -1,3 +1,4 @@
+import os
 import random
 
 import corpus_pipeline
@@ -47,6 +48,16 @@ def test_stages_against_brute_force(spark, rows, folder):
     assert sorted(map(repr, again)) == sorted(map(repr, seen[4].collect())) and np.int64(len(again)) == len(mixed)
 
 
+def test_tables_on_the_way_are_forgotten(spark, docs):
+    from waypost.llm import shared
+
+    df = shared.written(docs, "some")
+    path = shared._paths[-1].removeprefix("file://")
+    assert df.count() == docs.count() and os.path.isdir(path)
+    shared.forget(spark)
+    assert not os.path.exists(path)
+
+
 def test_registered(spark):
     import __spark_entry__ as entry
 

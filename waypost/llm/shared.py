@@ -14,6 +14,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _own_dir: list[str] = []
+_paths: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/waypost/{label}-{uuid.uuid4().hex}"
+    _paths.append(f"{shared_dir(spark)}/waypost/{label}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes all tables and files that operators of this process wrote on the way; for when their results have been stored."""
+    for path in _paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _paths.clear()
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
