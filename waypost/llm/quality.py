@@ -1,7 +1,7 @@
 """Quality rules: a few counts with fixed limits, and a classifier of word and character n-grams.
 
 The classifier is a logistic regression over hashed frequencies of a text's
-words and of its runs of three and of five bytes, trained on a bounded sample of
+words and of its runs of four bytes, trained on a bounded sample of
 labelled rows (``TRAIN_ROWS``, the lowest seeded hashes of their ids), with its
 probabilities calibrated on a part of the sample held out from training (Platt's method).
 Features of the sample are hashed on the executors; only they reach the driver.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import hashing as H
 from . import shared
 
-TRAIN_ROWS = 2500
+TRAIN_ROWS = 2000
 DIMENSIONS = 1 << 15
 #: A text is kept at this calibrated probability of being good, or more.
 KEEP_AT = 0.5
@@ -35,7 +35,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def measure(text: bytes) -> tuple[list[int], Any]:
-    """The counts of a text, and the feature numbers of its words, trigrams and five-grams."""
+    """The counts of a text, and the feature numbers of its words and four-grams."""
     import numpy as np
 
     data = np.frombuffer(text, np.uint8)
@@ -64,7 +64,7 @@ def measure(text: bytes) -> tuple[list[int], Any]:
             seen.add(line)
     counts = [len(words), int((inside & (data & 0xC0 != 0x80)).sum()), int(symbols[data].sum()), repeated_lines, again]
     shift = np.uint64(64 - (DIMENSIONS.bit_length() - 1))
-    return counts, [(h >> shift).astype(np.int64) for h in (words, H.char_grams(data, 3), H.char_grams(data, 5))]
+    return counts, [(h >> shift).astype(np.int64) for h in (words, H.char_grams(data, 4))]
 
 
 def base_failed(counts: list[int]) -> bool:
@@ -138,6 +138,7 @@ def platt(z, y) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int = 41, id_col: str = "doc_id", text_col: str = "text") -> dict | None:
     """The classifier: weights, bias, slope, offset; None without both kinds of labels."""
     import numpy as np
+    import pyarrow as pa
 
     sample = labelled_sample(docs, labels, "quality", rows, seed, id_col, text_col)
     got = sample.select("id", "y", "text").orderBy("id").select("y", "text").mapInArrow(sample_features, "y int, at array<int>, share array<float>").where("size(at) > 0").toArrow()
@@ -155,9 +156,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int
             out.append((np.concatenate([[0], np.cumsum(np.diff(at.offsets.to_numpy()))]), at.flatten().to_numpy(), share.flatten().to_numpy(), y[part]))
         return out
 
-    fit = blocks(order)
+    fit, rest = blocks(order), blocks(~order)
+    del got, sample
+    pa.default_memory_pool().release_unused()
     weights, bias = descend(fit, int(order.sum()))
-    z = np.concatenate([margins(*block[:3], weights, bias) for block in blocks(~order)])
+    z = np.concatenate([margins(*block[:3], weights, bias) for block in rest])
     slope, offset = platt(z.astype(np.float64), y[~order])
     return {"weights": weights, "bias": float(bias), "slope": slope, "offset": offset}
 
