@@ -79,3 +79,16 @@ def test_removal(spark, docs, rows):
     assert texts[7] == rows[7][1] and texts[100] is None
     assert all(len(texts[200 + i]) < 0.3 * len(rows[7][1]) + 60 for i in range(5))
     assert chunks.repeats(docs.limit(0)).count() == 0 and chunks.without_repeats(docs.limit(0)).count() == 0
+
+
+def test_every_piece_keeps_its_lowest_document(spark):
+    rng = random.Random(6)
+    line, text = prose(rng, 30, 100_000), [prose(rng, 150, 100_000) for _ in range(3)]
+    whole = f"{text[0]} {line} {text[1]}"
+    docs = spark.createDataFrame([(1, f"{text[2]} {line}"), (3, whole), (5, whole)], "doc_id long, text string")
+    got = chunks.repeats(docs).collect()
+    assert {(r["doc_id"], r["first_doc_id"]) for r in got if r["doc_id"] > 1} == {(3, 1), (3, 3), (5, 1)}
+    assert all(r["kept"] == (r["doc_id"] == r["first_doc_id"]) for r in got)
+    left = {r["doc_id"]: r["text"] for r in chunks.without_repeats(docs).collect()}
+    assert left[1] == f"{text[2]} {line}" and left[5] == ""
+    assert left[3].startswith(text[0]) and left[3].endswith(text[1][100:])

@@ -6,7 +6,9 @@ zero, so chunks inside a repeated passage are the same wherever it
 stands, and insertions before it move nothing.  Chunks are grouped by digest and length.
 Those found in more than one document are joined back, and neighbours form
 runs: repeated passages.  A run of at least ``LEAST_RUN`` code points is
-reported; its copies outside the document of the lowest id can be cut.
+reported, in pieces where only part of it stands in a lower document: chunks of
+which this document is the lowest are kept (and reported from ``LEAST_RUN`` code
+points on), the others can be cut, so no chunk is gone from all documents.
 
 Defined cases: null and empty texts have no chunks; documents are told apart by
 id and text, so a row repeated entirely counts as one document, and its repeats
@@ -85,7 +87,7 @@ def chunker(batches):
 
 
 def repeats(docs: DataFrame, least_run: int = LEAST_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per repeated passage: doc_id, key, start, end (code points, exclusive), n_chunks, first_doc_id (the lowest id with any of its chunks), kept."""
+    """A row per repeated passage, or piece of one whose chunks are alike in being kept: doc_id, key, start, end (code points, exclusive), n_chunks, first_doc_id (the lowest id with any of its chunks), kept."""
     key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), key.alias("key"), F.col(f"`{text_col}`").alias("text"))
     chunks = shared.written(rows.mapInArrow(chunker, "doc_id long, key long, start long, length int, digest long"), "chunks")
@@ -95,9 +97,14 @@ def repeats(docs: DataFrame, least_run: int = LEAST_RUN, id_col: str = "doc_id",
     order = Window.partitionBy("key").orderBy("start")
     fresh = (F.col("start") != F.coalesce(F.lag(F.col("start") + F.col("length")).over(order), F.lit(-1))).cast("long")
     run = F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    joined = found.withColumn("run", run).groupBy("doc_id", "key", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.count("*").alias("n_chunks"), F.min("first").alias("first"))
-    lowest = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    return joined.where(F.col("end") - F.col("start") >= least_run).select("doc_id", "key", "start", "end", "n_chunks", F.when(F.col("first") != -(1 << 63), F.col("first")).alias("first_doc_id"), (lowest == F.col("first")).alias("kept"))
+    within = Window.partitionBy("key", "run")
+    kept = F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("first")
+    turn = (F.col("kept") != F.coalesce(F.lag("kept").over(within.orderBy("start")), F.col("kept"))).cast("long")
+    whole = F.max(F.col("start") + F.col("length")).over(within) - F.min("start").over(within)
+    long = found.withColumn("run", run).withColumn("kept", kept).withColumn("turn", turn).withColumn("whole", whole).where(F.col("whole") >= least_run)
+    pieces = long.withColumn("piece", F.sum("turn").over(within.orderBy("start").rowsBetween(Window.unboundedPreceding, 0)))
+    joined = pieces.groupBy("doc_id", "key", "run", "piece", "kept").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.count("*").alias("n_chunks"), F.min("first").alias("first"))
+    return joined.where(~F.col("kept") | (F.col("end") - F.col("start") >= least_run)).select("doc_id", "key", "start", "end", "n_chunks", F.when(F.col("first") != -(1 << 63), F.col("first")).alias("first_doc_id"), "kept")
 
 
 def without_repeats(docs: DataFrame, least_run: int = LEAST_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
