@@ -83,3 +83,17 @@ def test_no_labels_clashes_and_empty(spark, docs):
     assert toxicity.train(docs, none) is None and toxicity.train(docs.limit(0), none) is None
     got = toxicity.score(with_clashes(docs), None)
     assert got.where("score = 0").count() == docs.count() and toxicity.score(docs.limit(0), None).count() == 0
+
+
+def test_all_clean_rows_train_the_field(spark, monkeypatch):
+    """Not only those of the lowest ids: here the others are in another language."""
+    rng = random.Random(12)
+    toxic = [(i, prose(rng, 20) + " vile" + str(i % 3)) for i in range(0, 60)]
+    clean = [(1000 + i, prose(rng, 20)) for i in range(150)] + [(5000 + i, " ".join(f"ñandu{rng.randrange(90)}" for _ in range(20))) for i in range(150)]
+    docs = spark.createDataFrame(toxic + clean, "doc_id long, text string").coalesce(2)
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i, _ in toxic + clean], "doc_id long, toxic int").coalesce(2)
+    seen, fit = [], toxicity.fit_field
+    monkeypatch.setattr(toxicity, "fit_field", lambda features, sizes, label: seen.append(len(sizes)) or fit(features, sizes, label))
+    assert toxicity.train(docs, labels) is not None
+    n = toxicity.labelled_sample(docs, labels, toxicity.TRAIN_ROWS, 53, "doc_id", "text").count()
+    assert seen == [(np.random.Generator(np.random.PCG64(53)).random(n) < 0.7).sum()]

@@ -206,19 +206,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int
     fit = rng.random(len(y)) < 0.7
     if len(y) < 20 or not 0 < y[fit].sum() < fit.sum() or not 0 < y[~fit].sum() < (~fit).sum():
         return None
-    _, _, sizes, features = tokens(texts)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    label = np.zeros(len(doc), bool)
-    own = fit[doc]
-    label[own] = toxic_tokens(features[:, own], sizes[fit], y[fit] == 1)
+    _, _, sizes, features = tokens([t for t, mine in zip(texts, fit.tolist(), strict=True) if mine])
+    label = toxic_tokens(features, sizes, y[fit] == 1)
     if not label.any():
         return None
-    clean = np.flatnonzero(fit & (y == 0))
-    some = fit & ((y == 1) | np.isin(np.arange(len(y)), clean[: 2 * int(y[fit].sum())]))
-    weights, moves, bias = fit_field(features[:, some[doc]], sizes[some], label[some[doc]])
+    weights, moves, bias = fit_field(features, sizes, label)
     rest = ~fit
-    p = marginals(weights[features[:, rest[doc]]].sum(axis=0) + bias, sizes[rest], moves)[0]
-    return {"weights": weights.astype(np.float32), "moves": moves, "bias": bias, "calibration": calibrate(document_values(p, sizes[rest]), y[rest])}
+    _, _, sizes, features = tokens([t for t, mine in zip(texts, rest.tolist(), strict=True) if mine])
+    p = marginals(weights[features].sum(axis=0) + bias, sizes, moves)[0]
+    return {"weights": weights.astype(np.float32), "moves": moves, "bias": bias, "calibration": calibrate(document_values(p, sizes), y[rest])}
 
 
 def scorer(model: dict | None) -> Callable:
