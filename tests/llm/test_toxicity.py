@@ -38,7 +38,7 @@ def test_gradient():
     sizes = np.full(200, 12)
     label = rng.random(2400) < 0.2
     features = np.where(label, rng.integers(1, 6, 2400), rng.integers(5, 60, 2400))[None, :]
-    weights, moves, bias = toxicity.fit_field(features, sizes, label, rounds=200, l2=1e-3)
+    weights, moves, bias = toxicity.fit_field([(features, np.arange(2400), sizes, label)], rounds=200, l2=1e-3)
     p = toxicity.marginals(weights[features].sum(axis=0) + bias, sizes, moves)[0]
     assert abs(p.sum() - label.sum()) < 0.05 * label.sum() and p[label].mean() > 0.8
 
@@ -85,15 +85,46 @@ def test_no_labels_clashes_and_empty(spark, docs):
     assert got.where("score = 0").count() == docs.count() and toxicity.score(docs.limit(0), None).count() == 0
 
 
-def test_all_clean_rows_train_the_field(spark, monkeypatch):
-    """Not only those of the lowest ids: here the others are in another language."""
+def test_all_clean_rows_train_the_field(spark):
+    """Not only those of the lowest ids, nor only short ones."""
     rng = random.Random(12)
     toxic = [(i, prose(rng, 20) + " vile" + str(i % 3)) for i in range(0, 60)]
     clean = [(1000 + i, prose(rng, 20)) for i in range(150)] + [(5000 + i, " ".join(f"ñandu{rng.randrange(90)}" for _ in range(20))) for i in range(150)]
-    docs = spark.createDataFrame(toxic + clean, "doc_id long, text string").coalesce(2)
-    labels = spark.createDataFrame([(i, int(i < 1000)) for i, _ in toxic + clean], "doc_id long, toxic int").coalesce(2)
-    seen, fit = [], toxicity.fit_field
-    monkeypatch.setattr(toxicity, "fit_field", lambda features, sizes, label: seen.append(len(sizes)) or fit(features, sizes, label))
-    assert toxicity.train(docs, labels) is not None
-    n = toxicity.labelled_sample(docs, labels, toxicity.TRAIN_ROWS, 53, "doc_id", "text").count()
-    assert seen == [(np.random.Generator(np.random.PCG64(53)).random(n) < 0.7).sum()]
+    long = [(9000, prose(rng, 60_000)), (9002, prose(rng, 90_000) + " vile1")]
+    docs = spark.createDataFrame(toxic + clean + long, "doc_id long, text string").coalesce(2)
+    labels = spark.createDataFrame([(i, int(i < 1000 or i == 9002)) for i, _ in toxic + clean + long], "doc_id long, toxic int").coalesce(2)
+    free = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i, _ in toxic + clean + long)
+    model = toxicity.train(docs, labels)
+    assert model["n_docs"] == free
+    fold = np.random.Generator(np.random.PCG64(53)).integers(0, toxicity.FOLDS, free)
+    assert model["n_fit"] == (fold != 0).sum()
+    assert toxicity.train(docs, labels, rows=100)["n_docs"] == 100
+
+
+def test_sample_is_bounded_by_bytes_and_one_text(spark):
+    from waypost.llm import shared
+
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "doc_id long, text string")
+    known = docs.selectExpr("doc_id AS id", "1 AS y")
+    sample = lambda size: {r["id"] for r in shared.labelled_texts(docs, known, 40, size, 7, "doc_id", "text").collect()}
+    assert len(sample(10**6)) == 40 and len(sample(950)) == 10 and len(sample(1)) == 1 and sample(950) < sample(10**6)
+
+
+def test_long_documents_are_several_chains(monkeypatch):
+    rng = np.random.default_rng(2)
+    sizes = np.array([0, 5, 40, 16, 0, 17])
+    emission, moves = rng.normal(size=sizes.sum()), rng.normal(size=5)
+    monkeypatch.setattr(toxicity, "CHAIN", 8)
+    assert toxicity.chains(sizes).tolist() == [0, 5, 8, 8, 8, 8, 8, 8, 8, 0, 8, 8, 1]
+    want = toxicity.marginals(emission, toxicity.chains(sizes), moves)[0]
+    for at_once in (1, 20, 1000):
+        monkeypatch.setattr(toxicity, "SCAN", at_once)
+        assert np.allclose(toxicity.probabilities(emission, sizes, moves), want)
+
+
+def test_features_dont_depend_on_pieces(monkeypatch):
+    rng = random.Random(4)
+    text = prose(rng, 300) + " ñandú " + "x" * 200
+    whole = toxicity.all_features(text)
+    monkeypatch.setattr(toxicity.H, "PIECE", 64)
+    assert np.array_equal(toxicity.all_features(text), whole) and whole.shape == (6, 302)

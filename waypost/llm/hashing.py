@@ -63,15 +63,34 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
-def char_grams(data: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of n (at most 7) bytes."""
-    if len(data) < n:
-        return np.zeros(0, np.uint64)
-    wide = data.astype(np.uint64)
-    out = np.full(len(data) - n + 1, n, np.uint64)
-    for k in range(n):
-        out = (out << np.uint64(8)) | wide[k : len(data) - n + 1 + k]
-    return mixed(out)
+#: Bytes or characters of a text that are hashed at once.
+PIECE = 1 << 20
+
+
+def word_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Some words after the other with their prefix sums: (first, last, shift, Prefixes); so a long text never needs sums of its own length."""
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, side="right")))
+        yield i, j, starts[i], Prefixes(data[starts[i] : ends[j - 1]])
+        i = j
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    out = np.empty(len(starts), np.uint64)
+    for i, j, at, prefixes in word_pieces(data, starts, ends):
+        out[i:j] = prefixes.of(starts[i:j] - at, ends[i:j] - at)
+    return out
+
+
+def code_points(raw: bytes, text: str) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8) if len(raw) == len(text) else np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def char_grams(points: np.ndarray, n: int):
+    """Hashes of all runs of n characters, a piece after the other."""
+    for first in range(0, len(points) - n + 1, PIECE):
+        yield windows(points[first : first + PIECE + n - 1].astype(np.uint64) + np.uint64(1), n)
 
 
 _ONES = np.uint64(0x0101010101010101)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs in one process (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="waypost-"))
         at = _own_dir[0]
@@ -52,6 +55,56 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batch, column: int, rows: int, size: int) -> Iterator:
+    """Pieces of an Arrow batch of at most ``rows`` rows and about ``size`` bytes in a text column; a longer text is a piece by itself."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    bytes_to = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        before = bytes_to[first - 1] if first else 0
+        last = min(first + rows, max(first + 1, int(np.searchsorted(bytes_to, before + size, side="right"))))
+        yield batch.slice(first, last - first)
+        first = last
+
+
+def labelled_texts(docs: DataFrame, known: DataFrame, rows: int, size: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, y, text) of a bounded sample of the labelled rows ``known`` (id, y; each id once), a text for each id.
+
+    The rows of the lowest seeded hashes of their ids, ``h``: at most ``rows``, and those
+    before which less than ``size`` bytes of text have been taken.  So the sample is
+    uniform whatever the texts' lengths, and its size is bounded by the two and one text.
+    """
+    ranked = known.select("id", "y", F.xxhash64(F.lit(seed), "id").alias("h")).orderBy("h", "id").limit(rows)
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(ranked), "id")  # a bounded number of ids
+    found = written(texts.groupBy("id", "h", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "sample")
+    before = F.coalesce(F.sum("size").over(Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = found.select("id", "h", utf8_size(F.col("text")).alias("size"))  # no more than the sample's ids
+    within = sizes.select("id", before.alias("before")).where(F.col("before") < size).select("id")
+    return found.join(F.broadcast(within), "id")
+
+
+def fitted(sample: DataFrame, fit: Callable, *order: str):
+    """What ``fit`` makes of the Arrow batches of a bounded sample, in the order of some columns.
+
+    One task of an executor holds the sample and trains; the driver gets the model
+    alone, and a lost executor costs one training.  None for an empty sample.
+    """
+
+    def run(batches):
+        import pickle
+
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(batches))], pa.binary())], ["model"])
+
+    import pickle
+
+    found = sample.repartition(1).sortWithinPartitions(*order).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
+
+
 def row_hash(df: DataFrame, seed: int) -> Column:
     """A hash over all columns of a row that can be hashed."""
     return F.xxhash64(F.lit(seed), *[F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
