@@ -21,7 +21,7 @@ def test_stages_against_brute_force(spark, rows, folder):
     data = rows + fresh + tainted + copies
     at = folder(documents=(data, DOCS), benchmark=(items, "item_id long, text string"), labels=([], "doc_id long, quality int, toxic int"))
 
-    good = [r for r in data if not quality.base_failed(quality.measure((r[1] or "").encode())[0])]
+    good = [r for r in data if not quality.base_failed(quality.measure(r[1])[0])]
     roots = brute_groups([r[1] for r in good])
     first = {}
     for r in sorted(set(good), key=lambda r: (r[0] is not None, r[0] or 0)):

@@ -60,3 +60,57 @@ def test_calibration(spark):
     y = np.concatenate([np.ones(90), np.zeros(10), np.zeros(50)])
     a, b = quality.platt(z, y)
     assert abs(1 / (1 + np.exp(-(2 * a + b))) - 0.9) < 0.03 and 1 / (1 + np.exp(-(-a + b))) < 0.1
+
+
+def test_features_dont_depend_on_pieces(monkeypatch, rows):
+    """N-grams of words and of characters, of the whole text."""
+    import numpy as np
+
+    def brute_counts(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        return [max(0, len(words) - n + 1) if unit == "word" else max(0, len(text or "") - n + 1) for unit, n in quality.FAMILIES]
+
+    whole = [quality.shares(r[1]) for r in rows]
+    monkeypatch.setattr(quality.H, "PIECE", 50)
+    for r, (at, share) in zip(rows[:70] + rows[-14:], whole[:70] + whole[-14:], strict=True):
+        again = quality.shares(r[1])
+        assert np.array_equal(at, again[0]) and np.allclose(share, again[1])
+        n = [0] * 4
+        for family, h in quality.measure(r[1])[1]:
+            n[family] += len(h)
+        assert n == brute_counts(r[1])
+        assert abs(share.sum() - sum(k > 0 for k in n)) < 1e-3
+
+
+def test_verdicts_are_the_logistic_regression(spark, rows, folder):
+    """Against a plain reading of the model: each family's mean weight, slope and offset, and a gradient that is small at the weights found."""
+    import numpy as np
+
+    more, labels = labelled(random.Random(2), 150)
+    docs = spark.createDataFrame(rows + more, DOCS)
+    model = quality.train(docs, spark.createDataFrame(labels, LABELS))
+    assert model["n_rows"] == 300
+    for text in [r[1] for r in more[:5] + more[-5:]]:
+        at, share = quality.shares(text)
+        z = float(share @ model["weights"][at]) + model["bias"]
+        assert abs(quality.judged(model, text)[2] - 1 / (1 + np.exp(-(model["slope"] * z + model["offset"])))) < 1e-4
+
+
+def test_pairs_of_words_count():
+    """Bad texts made of the good ones' words, in another order."""
+    import numpy as np
+
+    rng = random.Random(8)
+    follows = {f"w{i}": f"w{(7 * i + 3) % 50}" for i in range(50)}
+
+    def text(good):
+        out = [f"w{rng.randrange(50)}"]
+        while len(out) < 60:
+            out.append(follows[out[-1]] if good and rng.random() < 0.8 else f"w{rng.randrange(50)}")
+        return " ".join(out)
+
+    texts = [(i % 2, text(i % 2)) for i in range(400)]
+    rows = [quality.shares(t) for _, t in texts]
+    y = np.array([k for k, _ in texts], float)
+    weights, bias = quality.descend(rows[:300], y[:300], 1)
+    assert ((quality.margins(rows[300:], weights, bias) > 0) == (y[300:] == 1)).mean() > 0.95

@@ -1,11 +1,11 @@
 """Quality rules: a few counts with fixed limits, and a classifier of word and character n-grams.
 
 The classifier is a logistic regression over hashed frequencies of a text's
-words and of its runs of four bytes, trained on a bounded sample of
-labelled rows (``TRAIN_ROWS``, the lowest seeded hashes of their ids), with its
+words, pairs of words, and runs of three and of five characters, trained on a bounded sample of
+labelled rows (at most ``TRAIN_ROWS`` and ``TRAIN_BYTES``, see ``shared.labelled_texts``), with its
 probabilities calibrated on a part of the sample held out from training (Platt's method).
-Features of the sample are hashed on the executors; only they reach the driver.
-Scores are made in Arrow batches over whole texts.
+Features are hashed and the weights trained on the executors; only the weights reach the driver.
+Scores are made in Arrow batches over whole texts, a piece of a long text after the other.
 
 Defined cases: null, empty and blank texts have no words and fail the base
 rules; without labels of both kinds the classifier keeps everything; repeated
@@ -16,8 +16,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from typing import Any
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +24,12 @@ from pyspark.sql import functions as F
 from . import hashing as H
 from . import shared
 
-TRAIN_ROWS = 2000
-DIMENSIONS = 1 << 15
+#: Bounds of the training sample: rows, and bytes of text.
+TRAIN_ROWS, TRAIN_BYTES = 4000, 24 << 20
+DIMENSIONS = 1 << 18
+#: (unit, length) of the n-grams; each family's frequencies add up to one.
+FAMILIES = (("word", 1), ("word", 2), ("char", 3), ("char", 5))
+DOCS_AT_ONCE, BYTES_AT_ONCE = 500, 4 << 20
 #: A text is kept at this calibrated probability of being good, or more.
 KEEP_AT = 0.5
 MIN_WORDS, MAX_REPEATED_PERCENT, REPEAT_WINDOW = 20, 30, 8
@@ -34,14 +37,25 @@ SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measure(text: bytes) -> tuple[list[int], Any]:
-    """The counts of a text, and the feature numbers of its words and four-grams."""
+def features(words, raw: bytes, text: str) -> Iterator:
     import numpy as np
 
-    data = np.frombuffer(text, np.uint8)
+    shift = np.uint64(64 - (DIMENSIONS.bit_length() - 1))
+    points = H.code_points(raw, text)
+    for family, (unit, n) in enumerate(FAMILIES):
+        for h in [H.windows(words, n)] if unit == "word" else H.char_grams(points, n):
+            yield family, (H.mixed(h + np.uint64(family)) >> shift).astype(np.int32)
+
+
+def measure(text: str | None) -> tuple[list[int], Iterator]:
+    """The counts of a text, and its features: (family, numbers) of a piece after the other."""
+    import numpy as np
+
+    raw = (text or "").encode()
+    data = np.frombuffer(raw, np.uint8)
     inside = ~H.BLANK[data]
     starts, ends = H.runs(inside)
-    words = H.Prefixes(data).of(starts, ends)
+    words = H.word_hashes(data, starts, ends)
     symbols = np.zeros(256, np.int64)
     symbols[list(SYMBOLS.encode())] = 1
     again = 0
@@ -57,65 +71,75 @@ def measure(text: bytes) -> tuple[list[int], Any]:
             again = int((np.cumsum(cover) > 0).sum())
     seen: set[bytes] = set()
     repeated_lines = 0
-    for line in text.split(b"\n"):
+    for line in raw.split(b"\n"):
         if line in seen:
             repeated_lines += 1
         elif line.strip():
             seen.add(line)
     counts = [len(words), int((inside & (data & 0xC0 != 0x80)).sum()), int(symbols[data].sum()), repeated_lines, again]
-    shift = np.uint64(64 - (DIMENSIONS.bit_length() - 1))
-    return counts, [(h >> shift).astype(np.int64) for h in (words, H.char_grams(data, 4))]
+    return counts, features(words, raw, text or "")
 
 
 def base_failed(counts: list[int]) -> bool:
     return counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEATED_PERCENT * counts[0]
 
 
-def sample_features(batches):
-    """(y, text) to (y, number and share of each feature)."""
+def shares(text: str | None):
+    """Numbers and frequencies of a text's features."""
     import numpy as np
-    import pyarrow as pa
 
-    for batch in batches:
-        rows = []
-        for text in batch.column(1).to_pylist():
-            _, families = measure((text or "").encode())
-            sums = sum((np.bincount(f, minlength=DIMENSIONS) / max(1, len(f)) for f in families), np.zeros(DIMENSIONS))
-            at = np.flatnonzero(sums)
-            rows.append((at.astype(np.int32), sums[at].astype(np.float32)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], ["y", "at", "share"])
+    parts, n = [], [0] * len(FAMILIES)
+    for family, h in measure(text)[1]:
+        parts.append((family, *np.unique(h, return_counts=True)))
+        n[family] += len(h)
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    at, which = np.unique(np.concatenate([at for _, at, _ in parts]), return_inverse=True)
+    share = np.bincount(which, weights=np.concatenate([k / max(1, n[family]) for family, _, k in parts]))
+    return at, share.astype(np.float32)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, y, text) of at most ``rows`` labelled documents."""
-    y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"))
-    chosen = y.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(rows)
-    text = F.col(f"`{text_col}`")
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).join(F.broadcast(chosen), "id")  # a bounded number of ids
-    return texts.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+def hashed(batches):
+    """(h, id, y, text) to (h, id, y, features): numbers and frequencies, as bytes."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for part in shared.slices(batch, 3, DOCS_AT_ONCE, BYTES_AT_ONCE):
+            found = [at.tobytes() + share.tobytes() for at, share in map(shares, part.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, pa.binary())], ["h", "id", "y", "features"])
 
 
-def margins(indptr, at, share, weights, bias):
+def margins(rows: list, weights, bias: float):
+    """Scores of some sparse rows (numbers, frequencies)."""
     import numpy as np
 
-    return np.add.reduceat(share * weights[at], indptr[:-1]) + bias
+    return np.array([float(share @ weights[at]) for at, share in rows]) + bias
 
 
-def descend(blocks: list, n: int, rate: float = 0.5, rounds: int = 150, l2: float = 1e-5):
-    """Logistic regression on blocks of sparse rows (indptr, at, share, y) by accelerated full-batch gradients."""
+def descend(rows: list, y, seed: int, epochs: int = 12, at_once: int = 200, rate: float = 0.3, l2: float = 1e-5):
+    """Logistic regression on sparse rows by accelerated gradients of small groups; the weights of the second half are averaged."""
     import numpy as np
 
-    weights, bias = np.zeros(DIMENSIONS, np.float32), 0.0
+    rng = np.random.Generator(np.random.PCG64(seed))
+    weights, mean = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
     m, v = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
-    for t in range(1, rounds + 1):
-        grad = np.append(l2 * weights, 0.0)
-        for indptr, at, share, y in blocks:
-            g = ((1 / (1 + np.exp(-margins(indptr, at, share, weights, bias))) - y) / n).astype(np.float32)
-            grad += np.append(np.bincount(at, weights=share * np.repeat(g, np.diff(indptr)), minlength=DIMENSIONS), g.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        weights, bias = (weights - step[:-1]).astype(np.float32), bias - step[-1]
-    return weights, bias
+    t = n_mean = 0
+    for epoch in range(epochs):
+        for some in np.array_split(rng.permutation(len(rows)), -(-len(rows) // at_once)):
+            part = [rows[i] for i in some]
+            g = (1 / (1 + np.exp(-np.clip(margins(part, weights[:-1], weights[-1]), -30, 30))) - y[some]) / len(some)
+            at, share = (np.concatenate([r[k] for r in part]) for k in (0, 1))
+            grad = np.append(np.bincount(at, weights=share * np.repeat(g, [len(r[0]) for r in part]), minlength=DIMENSIONS), g.sum())
+            grad[:-1] += l2 * weights[:-1]
+            t += 1
+            m += 0.1 * (grad - m)
+            v += 0.01 * (grad**2 - v)
+            weights -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+            if 2 * epoch >= epochs:
+                mean += weights
+                n_mean += 1
+    mean /= n_mean
+    return mean[:-1].astype(np.float32), float(mean[-1])
 
 
 def platt(z, y) -> tuple[float, float]:
@@ -135,44 +159,49 @@ def platt(z, y) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int = 41, id_col: str = "doc_id", text_col: str = "text") -> dict | None:
-    """The classifier: weights, bias, slope, offset; None without both kinds of labels."""
-    import numpy as np
-    import pyarrow as pa
+def trainer(seed: int) -> Callable:
+    """Batches of (.., y, features) to the model, or None."""
+
+    def fit(batches):
+        import numpy as np
 
-    sample = labelled_sample(docs, labels, "quality", rows, seed, id_col, text_col)
-    got = sample.select("id", "y", "text").orderBy("id").select("y", "text").mapInArrow(sample_features, "y int, at array<int>, share array<float>").where("size(at) > 0").toArrow()
-    y = got.column("y").to_numpy().astype(np.float64)
-    order = np.random.Generator(np.random.PCG64(seed)).random(len(y)) < 0.75
-    if len(y) < 20 or not 0 < y[order].sum() < order.sum() or not 0 < y[~order].sum() < (~order).sum():
-        return None
-
-    def blocks(rows):
-        """(indptr, at, share, y) of some rows, a few hundred at a time."""
-        out = []
-        for part in np.array_split(np.flatnonzero(rows), -(-rows.sum() // 300)):
-            some = got.take(part)
-            at, share = some.column("at").combine_chunks(), some.column("share").combine_chunks()
-            out.append((np.concatenate([[0], np.cumsum(np.diff(at.offsets.to_numpy()))]), at.flatten().to_numpy(), share.flatten().to_numpy(), y[part]))
-        return out
-
-    fit, rest = blocks(order), blocks(~order)
-    del got, sample
-    pa.default_memory_pool().release_unused()
-    weights, bias = descend(fit, int(order.sum()))
-    z = np.concatenate([margins(*block[:3], weights, bias) for block in rest])
-    slope, offset = platt(z.astype(np.float64), y[~order])
-    return {"weights": weights, "bias": float(bias), "slope": slope, "offset": offset}
+        rows, y = [], []
+        for batch in batches:
+            for label, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if found:
+                    rows.append((np.frombuffer(found, np.int32, len(found) // 8), np.frombuffer(found, np.float32, len(found) // 8, len(found) // 2)))
+                    y.append(float(label))
+        labels = np.array(y)
+        chosen = np.random.Generator(np.random.PCG64(seed)).random(len(labels)) < 0.75
+        if len(labels) < 20 or not 0 < labels[chosen].sum() < chosen.sum() or not 0 < labels[~chosen].sum() < (~chosen).sum():
+            return None
+        weights, bias = descend([r for r, c in zip(rows, chosen, strict=True) if c], labels[chosen], seed)
+        slope, offset = platt(margins([r for r, c in zip(rows, chosen, strict=True) if not c], weights, bias), labels[~chosen])
+        return {"weights": weights, "bias": bias, "slope": slope, "offset": offset, "n_rows": len(labels)}
+
+    return fit
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES, seed: int = 41, id_col: str = "doc_id", text_col: str = "text") -> dict | None:
+    """The classifier: weights, bias, slope, offset; None without both kinds of labels."""
+    known = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").cast("int").alias("y"))
+    sample = shared.labelled_texts(docs, known, rows, size, seed, id_col, text_col).select("h", "id", "y", "text")
+    kind = sample.schema["id"].dataType.simpleString()
+    return shared.fitted(sample.mapInArrow(hashed, f"h long, id {kind}, y int, features binary"), trainer(seed), "h", "id")
 
 
 def judged(model: dict | None, text: str | None) -> tuple[list[int], bool, float]:
     """Counts, whether the base rules fail, and the probability of being good."""
     import math
 
-    counts, families = measure((text or "").encode())
+    counts, families = measure(text)
     p = 1.0
     if model is not None:
-        z = model["bias"] + sum(float(model["weights"][f].mean()) for f in families if len(f))
+        sums, n = [0.0] * len(FAMILIES), [0] * len(FAMILIES)
+        for family, h in families:
+            sums[family] += float(model["weights"][h].sum(dtype="float64"))
+            n[family] += len(h)
+        z = model["bias"] + sum(x / max(1, k) for x, k in zip(sums, n, strict=True))
         p = 1 / (1 + math.exp(-max(-60.0, min(60.0, model["slope"] * z + model["offset"]))))
     return counts, base_failed(counts), p
 
