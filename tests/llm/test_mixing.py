@@ -91,3 +91,27 @@ def test_mixed_rows(spark, docs, rows):
     assert got.count() == sum(taken.values())
     assert mixing.mixed(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
     assert mixing.mix(docs.where("text is null")).count() == sum(r[1] is None for r in rows)
+
+
+def test_repeats_make_no_long_arrays(spark):
+    """A row repeated often is one member of the tree, and is unfolded by short arrays."""
+    from pyspark.sql import functions as F
+
+    from waypost.llm import shared
+
+    docs = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("a").alias("source")).union(spark.createDataFrame([(i, "w " * (1 + i % 9), "b") for i in range(2, 3000)], "doc_id long, text string, source string"))
+    planned = {r["id"]: r for r in mixing.plan(docs).collect()}
+    assert len(planned) == 2999 and planned[1]["n"] == 20_000 and planned[1]["whole"] * 20_000 + planned[1]["more"] == pytest.approx(planned[1]["target"] / 3, abs=1)
+    got = mixing.mix(docs).groupBy("id").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")).where("id = 1").first()
+    assert (got["n"], got["copies"]) == (20_000, planned[1]["whole"] * 20_000 + planned[1]["more"])
+    rows = spark.createDataFrame([("a", 0), ("b", 1), ("c", 4), ("d", 5), ("e", 64), ("f", 1000)], "x string, n long")
+    out = shared.expanded(rows, F.col("n"), 1000, 4).groupBy("x").agg(F.count("*").alias("k"), F.min("nth").alias("low"), F.max("nth").alias("high"), F.count_distinct("nth").alias("d")).collect()
+    assert sorted(tuple(r) for r in out) == [(x, n, 1, n, n) for x, n in (("b", 1), ("c", 4), ("d", 5), ("e", 64), ("f", 1000))]
+
+
+def test_many_sources(spark):
+    """As many as rows: they are ranked by ranges, not in one task."""
+    sizes = {f"s{i:04d}": (i * 37) % 101 for i in range(900)}
+    got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
+    want = brute_targets(sizes)
+    assert all(got[s] == pytest.approx(want[s], abs=1e-6) for s in want) and got.keys() == want.keys()

@@ -15,12 +15,20 @@ fractional document, and groups meet in the next level until at most
 remaining documents from the largest to the smallest, so what is rounded in the
 end is small.
 
-Only DataFrame operations; nothing but one number (the largest source's count)
-reaches the driver, and the only tasks that see all of anything see a row for each source.
+That repair alone is without chance: it turns documents of a source's root whose words add
+up to no more than half of that last document, so the expected words of all of a source's
+documents together differ from rate by size by at most the size of one document.
+
+A row that is repeated n times is one member of the tree: of its n copies of the
+fraction p, the whole part of n * p is given outright and the remainder takes
+part, so neither an array nor a task grows with the repeats.
+
+Only DataFrame operations; a few numbers (the counts of the largest band and row, the total, where sharing stops)
+reach the driver.  Sources are ranked by ranges of their order.
 
 Defined cases: a null text or one without words has size zero and is never
-taken; a null source is a source, the last; repeated rows are counted first, and
-each repetition is rounded by itself; null ids and extra columns don't matter;
+taken; a null source is a source, the last; repeated rows each get their own copies, which differ by one at most
+but for the source's one repaired; null ids and extra columns don't matter;
 an empty table gives no rows.
 """
 
@@ -40,28 +48,27 @@ MOST_COPIES = 3
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """Per source: source_size and target.
+    """Per source: source_size and target; ``sized`` has source and size.
 
     Shares of the total by weight, but no more than ``most`` times a source's
     size.  In the order of size by weight, the sources at their limit come
     first, so running sums tell where sharing the rest stays below it.
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weighed = per.withColumn("weight", F.get(F.array(*[F.lit(w) for w in weights]), (rank % len(weights)).cast("int")).cast("long"))
+    last = F.col("source").asc_nulls_last()
+    weight = F.get(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights)).cast("int")).cast("long")
+    weighed = shared.written(shared.ranked(per, [last], {}, "sources").select("source", "source_size", weight.alias("weight")), "weighed")
+    total, total_weight = weighed.agg(F.sum("source_size"), F.sum("weight")).first()
     limit = F.col("source_size") * most
-    whole = Window.partitionBy(F.lit(0))
-    order = whole.orderBy(limit / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    left = F.sum("source_size").over(whole) - F.coalesce(F.sum(limit).over(before), F.lit(0))
-    left_weight = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    ranked = weighed.select("*", left.alias("left"), left_weight.alias("left_weight"), F.row_number().over(order).alias("place"))
-    at_limit = F.col("left") * F.col("weight") >= limit * F.col("left_weight")
-    free = F.when(~at_limit, F.struct("place", "left", "left_weight"))
-    shared_out = ranked.select("*", F.min(free).over(whole).alias("free"))
-    over = F.col("free").isNull() | (F.col("place") < F.col("free.place"))
-    target = F.when(over, limit.cast("double")).otherwise((F.col("free.left") * F.col("weight")).cast("double") / F.col("free.left_weight"))
-    return shared_out.select("source", "source_size", target.alias("target"))
+    ordered = shared.ranked(weighed, [(limit / F.col("weight")).asc(), last], {"limits": limit, "weights": F.col("weight")}, "by-limit")
+    left, left_weight = F.lit(total or 0) - F.col("limits"), F.lit(total_weight or 0) - F.col("weights")
+    told = shared.written(ordered.select("source", "source_size", "weight", "place", left.alias("left"), left_weight.alias("left_weight")), "targets")
+    below = F.col("left") * F.col("weight") < limit * F.col("left_weight")
+    free = told.where(below).agg(F.min(F.struct("place", "left", "left_weight")).alias("x")).first()["x"]
+    if free is None:
+        return told.select("source", "source_size", limit.cast("double").alias("target"))
+    share = (F.lit(free["left"]) * F.col("weight")).cast("double") / F.lit(free["left_weight"])
+    return told.select("source", "source_size", F.when(F.col("place") < free["place"], limit.cast("double")).otherwise(share).alias("target"))
 
 
 def meet(a: Column, b: Column, level: int, seed: int) -> tuple[Column, Column]:
@@ -70,7 +77,7 @@ def meet(a: Column, b: Column, level: int, seed: int) -> tuple[Column, Column]:
     room_a, mass_a = 1 - a["p"], a["p"]
     mass_b, room_b = b["p"] * ratio, (1 - b["p"]) * ratio
     gain, loss = F.least(room_a, mass_b), F.least(mass_a, room_b)
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), a["h1"], a["nth"], b["h1"], b["nth"]), F.lit(1 << 53)) / float(1 << 53)
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), a["h1"], b["h1"]), F.lit(1 << 53)) / float(1 << 53)
     gains = draw * (gain + loss) < loss
     new_a = F.when(gains, F.when(room_a <= mass_b, 1.0).otherwise(a["p"] + mass_b)).otherwise(F.when(mass_a <= room_b, 0.0).otherwise(a["p"] - room_b))
     new_b = F.when(gains, F.when(mass_b <= room_a, 0.0).otherwise(b["p"] - room_a / ratio)).otherwise(F.when(room_b <= mass_a, 1.0).otherwise(b["p"] + mass_a / ratio))
@@ -113,30 +120,32 @@ def repaired(left: Column, done: Column, kind: T.StructType) -> Column:
     return F.aggregate(F.sort_array(done, asc=False), state(need, start), merge)["done"]
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 29, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """A row per row of ``docs``: id, h1 and h2 (hashes of all its columns), source, size, source_size, target, copies."""
+def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 29, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """A row per distinct row of ``docs``: id, h1 and h2 (hashes of all its columns), source_size, target, size, n (how often it occurs), whole (copies of each), more (how many of the n get one more)."""
     sized = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), shared.word_count(F.col(f"`{text_col}`")).alias("size"), shared.row_hash(docs, 1).alias("h1"), shared.row_hash(docs, 2).alias("h2"))
     counted = shared.written(sized.groupBy("id", "source", "size", "h1", "h2").agg(F.count("*").alias("n")), "sizes")
     band = F.length(F.bin("size")).alias("band")  # sizes of a band differ by a factor of two at most
-    units = counted.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n").select("*", band)
+    units = counted.select("*", band)
     per_band = units.groupBy(F.col("source").alias("s"), F.col("band").alias("b")).agg(F.count("*").alias("n_band"))
-    targets = source_targets(units, weights, most)
+    targets = source_targets(units.select("source", (F.col("size") * F.col("n")).alias("size")), weights, most)
     bands = shared.written(targets.join(per_band, targets["source"].eqNullSafe(per_band["s"])).drop("source"), "bands")
     largest = bands.agg(F.max("n_band")).first()[0] or 0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    more = F.when(F.col("size") > 0, F.col("n") * (rate - F.floor(rate))).otherwise(0.0)
     groups = F.when(F.col("n_band") > LAST_OF_BAND, F.ceil(F.col("n_band") / FAN)).otherwise(F.lit(0))
     placed = units.join(bands, units["source"].eqNullSafe(F.col("s")) & (units["band"] == F.col("b"))).select(
-        "id", "h1", "h2", "nth", "source", "size", "source_size", "target", "band", groups.alias("groups"),
-        F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("p"),
-        F.when(groups > 0, F.pmod(F.xxhash64(F.lit(seed), "h1", "nth"), groups)).alias("leaf"),
+        "id", "h1", "h2", "n", "size", "source_size", "target", "band", groups.alias("groups"),
+        F.floor(rate).alias("whole"), F.floor(more).alias("more"), (more - F.floor(more)).alias("p"),
+        F.when(groups > 0, F.pmod(F.xxhash64(F.lit(seed), "h1"), groups)).alias("leaf"), F.col("s").alias("source"),
     )
-    fractional = (F.col("size") > 0) & (F.col("p") > 1e-12)
+    fractional = F.col("p") > 1e-12
     keys = ["source", "source_size", "target"]
-    out = placed.where(~fractional).select("id", "h1", "h2", *keys, "size", F.col("whole").alias("copies"))
-    kind = T.StructType([T.StructField(n, t, True) for n, t in (("size", T.LongType()), ("h1", T.LongType()), ("h2", T.LongType()), ("nth", T.LongType()), ("id", placed.schema["id"].dataType), ("whole", T.LongType()), ("p", T.DoubleType()))])
+    out = placed.where(~fractional).select("id", "h1", "h2", *keys, "size", "n", "whole", "more")
+    fields = [("size", T.LongType()), ("h1", T.LongType()), ("h2", T.LongType()), ("id", placed.schema["id"].dataType), ("n", T.LongType()), ("whole", T.LongType()), ("more", T.LongType()), ("p", T.DoubleType())]
+    kind = T.StructType([T.StructField(name, t, True) for name, t in fields])
     member = F.struct(*kind.names).cast(kind)
-    copies = (F.col("m.whole") + (F.col("m.p") >= 0.5).cast("long")).alias("copies")
-    settled = lambda rows: rows.select("m.id", "m.h1", "m.h2", *keys, "m.size", copies)
+    given = (F.col("m.more") + (F.col("m.p") >= 0.5).cast("long")).alias("more")
+    settled = lambda rows: rows.select("m.id", "m.h1", "m.h2", *keys, "m.size", "m.n", "m.whole", given)
 
     start = placed.where(fractional).select(*keys, "band", "groups", "leaf", member.alias("m"))
     last = start.where("groups = 0")
@@ -157,11 +166,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     return out.union(settled(ended.select(*keys, F.explode("ms").alias("m"))))
 
 
+def mix(docs: DataFrame, **settings) -> DataFrame:
+    """A row per row of ``docs``: id, h1 and h2 (hashes of all its columns), source, size, source_size, target, copies."""
+    planned = shared.written(plan(docs, **settings), "plan")
+    each = shared.expanded(planned, F.col("n"), planned.agg(F.max("n")).first()[0] or 0)
+    return each.select("id", "h1", "h2", "source", "source_size", "target", "size", (F.col("whole") + (F.col("nth") <= F.col("more")).cast("long")).alias("copies"))
+
+
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    taken = mix(docs, **settings).groupBy("h1", "h2").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0")
-    found = shared.rows_with(docs, shared.written(taken, "taken"), "copies")
-    return found.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
+    total = F.col("n") * F.col("whole") + F.col("more")
+    taken = shared.written(plan(docs, **settings).select("h1", "h2", "n", total.alias("copies")).where("copies > 0"), "taken")
+    found = shared.rows_with(docs, taken, "copies")
+    return shared.expanded(found, F.col("copies"), taken.agg(F.max("copies")).first()[0] or 0).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,6 +152,44 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: The longest array that repeating a row makes.
+STEP = 4096
+
+
+def expanded(df: DataFrame, n: Column, most: int, step: int = STEP) -> DataFrame:
+    """Each row ``n`` times with ``nth`` from 1; ``most``: an upper bound of n.
+
+    A row repeated without end is unfolded level by level, by arrays of at most
+    ``step``, and its parts are dealt over all tasks in between.
+    """
+    rows, level = df.withColumns({"__from": F.lit(0).cast("long"), "__n": n.cast("long")}).where("__n > 0"), 0
+    while step ** (level + 1) < most:
+        level += 1
+    for k in range(level, -1, -1):
+        unit = step**k
+        part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / unit).cast("long")))
+        rows = rows.withColumn("__i", part).withColumns({"__from": F.col("__from") + F.col("__i") * unit, "__n": F.least(F.lit(unit), F.col("__n") - F.col("__i") * unit)}).drop("__i")
+        if k:
+            rows = rows.repartition(shuffle_partitions(df.sparkSession))
+    return rows.withColumn("nth", F.col("__from") + 1).drop("__from", "__n")
+
+
+def ranked(rows: DataFrame, order: list[Column], sums: dict[str, Column], label: str) -> DataFrame:
+    """``rows`` with ``place``, from 0 in a total order, and the sums over the rows before.
+
+    Rows are dealt by range of the order; only a row for each partition is ever in one task.
+    """
+    n = shuffle_partitions(rows.sparkSession)
+    dealt = written(rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), label)
+    sums = {"place": F.lit(1).cast("long"), **sums}
+    per = dealt.groupBy("__part").agg(*[F.sum(c).alias(f"__{k}") for k, c in sums.items()])
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offsets = per.select("__part", *[F.coalesce(F.sum(f"__{k}").over(before), F.lit(0)).alias(f"__{k}") for k in sums])
+    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = dealt.join(F.broadcast(offsets), "__part")  # as many rows as partitions
+    return joined.select(*[F.col(c) for c in rows.columns], *[(F.col(f"__{k}") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(k) for k, c in sums.items()])
+
+
 def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
