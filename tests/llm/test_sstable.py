@@ -47,6 +47,29 @@ def test_lookup_over_many_shards(spark, docs, rows, tmp_path):
     assert 9999 not in found
 
 
+def test_lookup_opens_only_what_may_hold_the_key(spark, docs, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/t"
+    manifest = sstable.write_table(docs, folder, PATH, shard_bytes=20_000)
+    ranges = [(bytes(r["first_key"]), bytes(r["last_key"])) for r in manifest.orderBy("shard").collect()]
+    assert len(ranges) > 5 and all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    opened, real = [], sstable.ShardReader
+    monkeypatch.setattr(sstable, "ShardReader", lambda f, size: opened.append(size) or real(f, size))
+    for i in (42, None, 9999):
+        opened.clear()
+        sstable.lookup(manifest, folder, [i])
+        assert len(opened) == sum(a <= sstable.key_of(i) <= b for a, b in ranges) <= 2
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(sstable, "MEMORY_BYTES", 20_000)
+    enc, tok = sstable.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    for i in range(30):
+        texts = [" ".join(f"word{i}x{j}" for j in range(40)), "y" * 5000 + str(i), "z" * 300]
+        for text, got in zip(texts, enc(texts), strict=True):
+            assert np.frombuffer(got, "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids
+        assert enc.memory.bytes < 60_000 and max(map(len, [*enc.memory, *enc.first])) <= sstable.LONG_WORD
+
+
 def test_file_format(tmp_path):
     blocks = sstable.BLOCK_BYTES
     sstable.BLOCK_BYTES = 300

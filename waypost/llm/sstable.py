@@ -11,8 +11,9 @@ A shard file holds documents in ascending key order::
 
 Keys share prefixes within a block; a block's first key is whole.  Ids take two
 bytes where the vocabulary allows it, else four (little-endian).  All files of
-a table follow each other in key order, so shard number and block index
-together locate any document by binary search.
+a table follow each other in key order.  The manifest has every shard's first and last key; a
+lookup opens only shards whose range holds the key, asks the filter, and finds the block by binary
+search of the index.
 
 Defined cases: a null id sorts first; a null text is empty and holds only the
 end id; repeated ids stay, ordered by a hash of the text, and a lookup returns
@@ -33,8 +34,11 @@ from . import shared
 MAGIC = b"WPSST\x00\x00\x01"
 BLOCK_BYTES = 256 << 10
 SHARD_BYTES = 64 << 20
-#: Entries a worker's memory of encoded words holds before it starts anew.
-MEMORY_ENTRIES = 1_000_000
+#: Bytes that a worker's memory of encoded words takes before it starts anew; longer words are not remembered.
+MEMORY_BYTES = 128 << 20
+LONG_WORD = 256
+#: Documents and bytes of text that are encoded at once.
+DOCS_AT_ONCE, BYTES_AT_ONCE = 500, 4 << 20
 FOOTER = "<QQQQII8s"
 
 
@@ -235,8 +239,7 @@ class WordEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         for memory in (self.memory, self.first):
-            if len(memory) > MEMORY_ENTRIES:
-                memory.clear()
+            memory.shrink()
         out, first, get = [], self.first.__getitem__, self.memory.__getitem__
         for text in texts:
             try:
@@ -253,7 +256,12 @@ class Words(dict):
 
     def __init__(self, encoder: WordEncoder, space: str):
         super().__init__()
-        self.encoder, self.space = encoder, space
+        self.encoder, self.space, self.bytes = encoder, space, 0
+
+    def shrink(self) -> None:
+        if self.bytes > MEMORY_BYTES:
+            self.clear()
+            self.bytes = 0
 
     def __missing__(self, word: str) -> bytes | None:
         e = self.encoder
@@ -261,7 +269,9 @@ class Words(dict):
             found = e.word(word, m[1], self.space)
         else:
             found = None if e.odd(word) else e.raw([self.space + word])[0]
-        self[word] = found
+        if len(word) <= LONG_WORD:
+            self[word] = found
+            self.bytes += 200 + 4 * len(word) + len(found or b"")  # entry, word and ids with their headers
         return found
 
 
@@ -279,31 +289,31 @@ def shard_writer(folder: str, tokenizer_path: str) -> Callable:
         name = f"{base}/part-{shard:07d}.sst"
         writer = None
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(ids), 500):
-                for key, data in zip(ids[i : i + 500], encode(texts.slice(i, 500).to_pylist()), strict=True):
+            for few in shared.slices(batch, 1, DOCS_AT_ONCE, BYTES_AT_ONCE):
+                for doc_id, data in zip(few.column(0).to_pylist(), encode(few.column(1).to_pylist()), strict=True):
+                    key = key_of(doc_id)
                     if writer is None:
                         files.create_dir(base, recursive=True)
-                        part = f"{name}.{uuid.uuid4().hex}"
+                        part, first = f"{name}.{uuid.uuid4().hex}", key
                         writer = ShardWriter(files.open_output_stream(part), encode.width)
-                    writer.add(key_of(key), data + end)
+                    writer.add(key, data + end)
         if writer is not None:
             writer.close()
             files.move(part, name)  # a second attempt writes the same bytes
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "file": [name], "docs": pa.array([writer.docs], pa.int64()), "ids": pa.array([writer.ids], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "file": [name], "docs": pa.array([writer.docs], pa.int64()), "ids": pa.array([writer.ids], pa.int64()), "first_key": [first], "last_key": [key]})
 
     return run
 
 
 def write_table(docs: DataFrame, folder: str, tokenizer_path: str, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and writes ``docs``; returns the manifest: shard, file, docs, ids."""
+    """Encodes and writes ``docs``; returns the manifest: shard, file, docs, ids, first_key, last_key."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(shared.utf8_size(F.col("text")))).first()[0] or 0
     n = max(spark.sparkContext.defaultParallelism, math.ceil(total / shard_bytes))
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange(n, F.col("id").asc_nulls_first(), tie).sortWithinPartitions(F.col("id").asc_nulls_first(), tie)
-    return shared.written(ordered.mapInArrow(shard_writer(folder, tokenizer_path), "shard long, file string, docs long, ids long"), "manifest")
+    return shared.written(ordered.mapInArrow(shard_writer(folder, tokenizer_path), "shard long, file string, docs long, ids long, first_key binary, last_key binary"), "manifest")
 
 
 def shard_reader(folder: str) -> Callable:
@@ -335,17 +345,26 @@ def read_table(manifest: DataFrame, folder: str) -> DataFrame:
     return spread.mapInArrow(shard_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def shards_of(manifest: DataFrame, keys: list[bytes]) -> DataFrame:
+    """The shards whose ranges hold some of a few keys, by predicates that reach the manifest's Parquet."""
+    held = F.lit(False)
+    for key in keys:
+        held = held | ((F.col("first_key") <= F.lit(key)) & (F.col("last_key") >= F.lit(key)))
+    return manifest.where(held).orderBy("shard")
+
+
 def lookup(manifest: DataFrame, folder: str, ids: list[int | None]) -> dict[int | None, list[list[int]]]:
-    """Ids of a few documents by key, on the driver: filter, block index and one block of each shard that may hold it."""
+    """Ids of a few documents by key, on the driver: manifest, filter, block index, and the block that may hold it."""
     import numpy as np
 
     files, _ = filesystem(folder)
     found: dict[int | None, list[list[int]]] = {}
-    for row in manifest.orderBy("shard").toLocalIterator():
+    for row in shards_of(manifest, [key_of(i) for i in ids]).toLocalIterator():
         with files.open_input_file(row["file"]) as f:
             reader = ShardReader(f, files.get_file_info(row["file"]).size)
             for i in ids:
-                hits = reader.get(key_of(i))
+                key = key_of(i)
+                hits = reader.get(key) if bytes(row["first_key"]) <= key <= bytes(row["last_key"]) else []
                 if hits:
                     found.setdefault(i, []).extend(np.frombuffer(x, "<u2" if reader.width == 2 else "<u4").tolist() for _, x in hits)
     return found
