@@ -73,8 +73,52 @@ def test_empty(spark, docs):
     assert decontaminate.contamination(docs.limit(0), spark.createDataFrame([(1, "a b")], ITEMS)).count() == 0
 
 
+PHRASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+
+
 def test_proximity(spark):
-    phrase = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
-    docs = [(1, phrase), (2, phrase.replace("delta", "delta and more")), (3, phrase.replace("gamma", "gamma extra")), (4, "alpha kappa"), (5, " ".join(phrase.split()[::-1]))]
-    got = decontaminate.proximity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, phrase)], ITEMS))
-    assert {r["doc_id"] for r in got.collect()} >= {1, 2, 3} and {r["item"] for r in got.collect()} == {"9"}
+    other = "delta and more"
+    docs = [(1, PHRASE), (2, PHRASE.replace("delta", other)), (3, PHRASE.replace("gamma", "gamma extra")), (4, "alpha kappa alpha kappa"), (5, " ".join(PHRASE.split()[::-1])), (6, PHRASE.replace("alpha", "changed").replace("kappa", "too") + " x"), (7, "a " + PHRASE.replace("beta", "b").replace("theta", "t").replace("iota", "i")), (8, PHRASE.replace("eta theta", "theta eta")), (9, None), (2, PHRASE.replace("delta", other))]
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, PHRASE), (10, "unseen words " + PHRASE)], ITEMS)).collect()
+    assert {r["doc_id"]: r["items"] for r in got if r["items"]} == {1: ["9", "10"][::-1]}
+    near = {r["doc_id"]: r["near_items"] for r in got if r["near_items"]}
+    # 10's own windows begin with words that no document has, so they are near where most of them stands
+    assert set(near) == {2, 3, 6, 8} and all("9" in x for x in near.values()) and len(got) == len(docs)
+
+
+def test_near_items_as_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(7)
+    data, items = planted(rng)
+    seen, some = set(), []
+    for r in data:
+        if r[0] not in seen:  # SQL goes by id
+            seen.add(r[0])
+            w = (r[1] or "").split()
+            for _ in range(rng.randint(0, 3)):
+                k = rng.randrange(15, 35)
+                w[k : k + rng.randint(0, 1)] = [rng.choice(["put", "in", "w5"])]
+            some.append((r[0], " ".join(w), *r[2:]))
+    spark.createDataFrame(some, DOCS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, ITEMS).coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    # two items of id 7 and one without are, by SQL, items of these names as well
+    want = con.execute(decontaminate.ORACLE.replace("CAST(item_id AS VARCHAR)", "coalesce(CAST(item_id AS VARCHAR), 'null')")).fetchall()
+    got = decontaminate.op9_decontamination(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want) and sum(r["near_items"] != "" for r in got) > 5
+
+
+def test_tokens_are_filtered_before_they_are_shuffled(spark, docs):
+    """No exchange takes tokens that the bitmap hasn't let through."""
+    terms = spark.createDataFrame([("w1", 1)], "term string, hash long")
+    own = decontaminate.keyed(docs, "doc_id", "text")
+    plan = decontaminate.only(decontaminate.tokens(own), terms).join(terms.select("term"), "term").groupBy("term").count()._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    join = next(i for i, line in enumerate(lines) if "Join Inner" in line)
+    below = lines[join:]
+    assert any("__slot" in line or "__bits" in line for line in below) and any("Generate" in line for line in below)
+    generate = next(i for i, line in enumerate(below) if "Generate posexplode" in line)
+    assert any("Join LeftOuter" in line for line in below[:generate]), "the bitmap stands between the tokens and the join"
