@@ -9,6 +9,8 @@ BASE = np.uint64(0xD6E8FEB86659FD93)
 #: Odd, so it has an inverse modulo 2^64.
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 BYTE_VALUES = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256).astype(np.uint64)
+#: Random numbers of a rolling hash, one for each byte.
+GEAR = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 32, 256, dtype=np.uint32)
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
 
