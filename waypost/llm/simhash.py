@@ -34,6 +34,8 @@ from . import shared
 BITS = 64
 #: Distinct fingerprints of a bucket that one task compares with each other.
 TASK_BUCKET = 4096
+#: Rows of bucket members that a task is dealt, about.
+MEMBERS_A_TASK = 1 << 20
 
 
 def fingerprinter(k: int, n_keys: int) -> Callable:
@@ -151,7 +153,8 @@ def near_links(fps: DataFrame, radius: int = 4, task_bucket: int = TASK_BUCKET)
     shared_keys = shared.written(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     small, large = shared_keys.where(F.col("n") <= task_bucket), shared_keys.where(F.col("n") > task_bucket)
     members = keyed.join(small.select("t", "key"), ["t", "key"])
-    dealt = members.repartition(shared.shuffle_partitions(spark), "t", "key").sortWithinPartitions("t", "key", "fp")
+    tasks = max(shared.shuffle_partitions(spark), -(-(small.agg(F.sum("n")).first()[0] or 0) // MEMBERS_A_TASK))
+    dealt = members.repartition(tasks, "t", "key").sortWithinPartitions("t", "key", "fp")
     found = dealt.mapInArrow(bucket_links(radius), "a long, b long")
     if not large.isEmpty():
         crowded = keyed.join(large.select("t", "key"), ["t", "key"]).select("fp").distinct()
@@ -175,16 +178,6 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     return labelled.join(least, "label").select(id_col, "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, of each group of near-duplicates only the one of the lowest id (null is lowest)."""
-    hashed = docs.select("*", shared.row_hash(docs, 1).alias("__h1"), shared.row_hash(docs, 2).alias("__h2"))
-    fps = shared.written(fingerprints(hashed, words, (id_col, "__h1", "__h2"), text_col), "documents-fp")
-    first = groups(fps, radius).groupBy("label").agg(F.min(F.struct(id_col, "__h1", "__h2")).alias("x"))
-    times = fps.groupBy(F.col("__h1").alias("h1"), F.col("__h2").alias("h2")).agg(F.count("*").alias("n"))
-    kept = first.select(F.col("x.__h1").alias("h1"), F.col("x.__h2").alias("h2")).join(shared.written(times, "times"), ["h1", "h2"])
-    return shared.rows_with(docs, shared.written(kept, "kept")).select("row.*")
-
-
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and components of all ``documents``: 4-word shingles, 4 bits."""
     found = near_duplicates(shared.table(spark, sf_dir, "documents"))
