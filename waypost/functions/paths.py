@@ -128,4 +128,6 @@ def matching(pattern: tuple[str, ...], compat: bool = False) -> Column:
         near = [] if i == len(pattern) - 1 else [F.col("depth") >= i]
     else:
         near.append(F.col("depth") >= len([s for s in pattern if s != MANY]))
+    if tail := pattern[max(i for i, s in enumerate(pattern) if s in (ONE, MANY)) + 1 :]:
+        near.append((F.col("path") == text_of(tail)) | F.col("path").endswith("." + text_of(tail)))  # cheaper than the expression, which runs on what is left
     return _all([*near, F.concat(F.lit("."), F.col("path")).rlike(regex(pattern, compat))])

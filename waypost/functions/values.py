@@ -34,6 +34,7 @@ VALUE_FIELDS = [
 VALUE_COLUMNS = [f.name for f in VALUE_FIELDS]
 ENDPOINT_SCHEMA = T.StructType([T.StructField("root", T.StringType()), T.StructField("depth", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("segments", T.ArrayType(T.StringType())), *VALUE_FIELDS])
 LOG_SCHEMA = T.StructType([*ENDPOINT_SCHEMA.fields, T.StructField("seq", T.LongType()), T.StructField("deleted", T.BooleanType()), T.StructField("ts", T.TimestampType())])
+BATCHED_LOG_SCHEMA = T.StructType([*LOG_SCHEMA.fields, T.StructField("batch", T.LongType())])
 _HOLDS = {"boolean": "v_bool", "integer": "v_int", "float": "v_float", "string": "v_str", "binary": "v_bin", "reference": "v_ref"}
 
 

@@ -5,17 +5,25 @@ Tables are shredded by their keys: ``customer.c-12.c_name``.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waypost import render
+from waypost.clients.client import Client
+from waypost.clients.server import Server
+from waypost.errors import WaypostError
 from waypost.functions import values as V
-from waypost.operators import analysis, entity, scan, where
+from waypost.operators import access, analysis, entity, scan, where
+from waypost.operators.value_index import ValueIndex
 from waypost.operators.where import Condition
 from waypost.sources import log as changes
 from waypost.sources import shred as S
 from waypost.store import EndpointStore
+from waypost.streaming import subscribe
 
 #: Table: (letter of its entities, key columns).
 KEYS = {
@@ -26,6 +34,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder for a store, in the one that all executors share, where it is set."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="waypost-")
+    return f"{at.rstrip('/')}/waypost/{label}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -84,7 +98,7 @@ def get_endpoint(spark, sf_dir):
 @query(f"SELECT count(*) > 0 AS there, (SELECT count(*) > 0 FROM ({CUSTOMER_CELLS}) WHERE path = 'customer.c-12') AS inner_node FROM ({CUSTOMER_CELLS}) WHERE path = 'customer.c-12.c_name'")
 def exists_endpoint(spark, sf_dir):
     ep = endpoints(spark, sf_dir, "customer")
-    return ep.agg(F.coalesce(F.bool_or(F.col("path") == "customer.c-12.c_name"), F.lit(False)).alias("there"), F.coalesce(F.bool_or(F.col("path") == "customer.c-12"), F.lit(False)).alias("inner_node"))
+    return spark.createDataFrame([(scan.exists(ep, "customer.c-12.c_name"), scan.exists(ep, "customer.c-12"))], "there boolean, inner_node boolean")
 
 
 @query(f"SELECT path FROM ({CUSTOMER_CELLS}) WHERE path LIKE 'customer.c-1.%'")
@@ -327,9 +341,10 @@ def dereference(spark, sf_dir):
     return scan.dereference(_orders_with_references(spark, sf_dir), names).select("from_path", "path", "v_str")
 
 
-@query("SELECT 'orders.o-' || o_orderkey || '.customer' AS path, 'customer.c-' || o_custkey AS v_ref FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+@query("SELECT 'orders.o-' || o_orderkey || '.customer' AS path, 'customer.c-' || o_custkey AS v_ref FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)")
 def dangling_references(spark, sf_dir):
-    return analysis.dangling(_orders_with_references(spark, sf_dir).union(endpoints(spark, sf_dir, "customer", ["c_name"])), "orders.*.customer")
+    some = S.shred(table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0"), "customer", S.keyed("c", "c_custkey"), ["c_name"])
+    return analysis.dangling(_orders_with_references(spark, sf_dir).union(some), "orders.*.customer")
 
 
 @query("SELECT 'string' AS vtype, c_mktsegment AS v_str, count(*) AS n FROM customer GROUP BY c_mktsegment HAVING count(*) > 1")
@@ -382,10 +397,273 @@ def ql_count(spark, sf_dir):
     return spark.createDataFrame([(store.ql('{ return count("customer") }'), store.ql("{ return count(customer.*.c_name) }"))], "by_text long, by_pattern long")
 
 
-@query()
+@query("SELECT true AS now, true AS uuid, true AS fresh")
 def ql_now_and_uuid(spark, sf_dir):
     store = EndpointStore(spark)
-    return spark.createDataFrame([(store.ql("{ a.now = now(); return a.now }"), store.ql("{ return uuid() }"))], "now string, uuid string")
+    now, one, two = (store.ql("{ %s return %s }" % x) for x in (("a.now = now();", "a.now"), ("", "uuid()"), ("", "uuid()")))
+    form = r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+    return spark.createDataFrame([(now, one, two)], "n string, u string, w string").select(F.to_timestamp("n").isNotNull().alias("now"), F.col("u").rlike(form).alias("uuid"), (F.col("u") != F.col("w")).alias("fresh"))
+
+
+# shapes of entities
+
+
+def _boxes(spark, sf_dir) -> DataFrame:
+    """Parts as nested entities: objects, an array, an array of objects."""
+    size = F.col("p_size")
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_name").alias("name"), F.struct(F.col("p_type").alias("kind"), F.struct(size.alias("deep"), (size + 1).alias("wide")).alias("inner")).alias("box"),
+        F.array(size, size * 2).alias("marks"), F.array(F.struct(F.lit(True).alias("ok")), F.struct(F.lit(None).cast("boolean").alias("ok"))).alias("checks"),
+    )
+    return S.shred(rows, "box", S.keyed("b", "p_partkey"), ["name", "box", "marks", "checks"])
+
+
+BOX = """'{"box":{"inner":{"deep":' || p_size || ',"wide":' || (p_size + 1) || '},"kind":"' || p_type || '"},"checks":[{"ok":true},{"ok":null}],"marks":[' || p_size || ',' || (2 * p_size) || '],"name":"' || p_name || '"}'"""
+
+
+@query(f"SELECT 'box.b-' || p_partkey AS entity, {BOX} AS json FROM part")
+def entity_json_nested(spark, sf_dir):
+    return entity.json(entity.with_entity(_boxes(spark, sf_dir), ("box",))).select("entity", "json")
+
+
+@query(f"SELECT {BOX} AS json, p_size + 1 AS wide FROM part WHERE p_partkey = 7")
+def path_expression(spark, sf_dir):
+    store = EndpointStore(spark, _boxes(spark, sf_dir))
+    return spark.createDataFrame([(render.json_text(store.ql("{ return box.b-7 }")), store.ql("{ return box.b-7.box.inner.wide }"))], "json string, wide int")
+
+
+@query(f"SELECT 'b-' || p_partkey AS id, {BOX} AS json FROM part WHERE p_size + 1 > 40 AND p_type = 'ECONOMY'")
+def filter_nested_attributes(spark, sf_dir):
+    return EndpointStore(spark, _boxes(spark, sf_dir)).ql('{ return box where their.box.inner.wide > 40 && their.box.kind == "ECONOMY" }').select("id", "json")
+
+
+@query(f"SELECT {BOX} AS stored FROM part WHERE p_partkey = 7")
+def entity_as_value(spark, sf_dir):
+    store = EndpointStore(spark, _boxes(spark, sf_dir))
+    return spark.createDataFrame([(store.ql("{ copy.of = box.b-7; return copy.of }"),)], "stored string")
+
+
+@query("SELECT 'o-' || r_regionkey AS id, r_regionkey % 2 = 0 AS clash FROM region")
+def conflicting_shapes(spark, sf_dir):
+    """A scalar where an object is, in every other entity."""
+    key = "concat('x.o-', r_regionkey, '.a')"
+    told = table(spark, sf_dir, "region").selectExpr(f"explode(if(r_regionkey % 2 = 0, array({key}, concat({key}, '.b')), array(concat({key}, '1'), concat({key}, '.b')))) AS path", "'1' AS value")
+    placed = entity.with_entity(S.from_json_text(told), ("x",))
+    return placed.groupBy("id").agg(entity.conflict(F.collect_list("rel")).alias("clash"))
+
+
+@query("SELECT 'scalar in an object' AS shape, true AS fails UNION ALL SELECT 'endpoint above others', true UNION ALL SELECT 'object and array', true UNION ALL SELECT 'plain', false")
+def conflicts_fail(spark, sf_dir):
+    shapes = {"scalar in an object": ["x.e.a", "x.e.a.b"], "endpoint above others": ["x.e", "x.e.a"], "object and array": ["x.e.a", "x.e.[0]"], "plain": ["x.e.a", "x.e.b.[0]"]}
+
+    def fails(paths) -> bool:
+        try:
+            EndpointStore.in_memory(spark, dict.fromkeys(paths, 1)).get_entity("x.e")
+        except WaypostError:
+            return True
+        return False
+
+    return spark.createDataFrame([(k, fails(v)) for k, v in shapes.items()], "shape string, fails boolean")
+
+
+# the language
+
+
+@query("SELECT * FROM (VALUES ('a.f', 'float', '2.5'), ('a.i', 'integer', '5'), ('a.n', 'null', 'null'), ('a.no', 'boolean', 'false'), ('a.s', 'string', '\"x\"'), ('a.yes', 'boolean', 'true')) AS t(path, vtype, json)")
+def literal_types(spark, sf_dir):
+    store = EndpointStore(spark)
+    return store.ql('{ a.f = 2.5; a.i = 5.0; a.n = null; a.no = false; a.s = "x"; a.yes = true; return a.* }').select("path", "vtype", V.json_column().alias("json"))
+
+
+@query("SELECT 'p-' || p_partkey AS id FROM part WHERE p_size > 25 AND p_size % 2 = 0")
+def filter_boolean_and_null(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size > 25 AS big", "nullif(p_size, if(p_size % 2 = 0, p_size, -1)) AS odd")
+    return EndpointStore(spark, S.shred(rows, "part", S.keyed("p", "p_partkey"), ["big", "odd"])).ql("{ return part where their.big == true && null == their.odd }").select("id")
+
+
+@query("""SELECT '[' || string_agg('"{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}"', ', ' ORDER BY 'nation.n-' || n_nationkey) || ']' AS text FROM nation WHERE n_regionkey = 1""")
+def filter_compat_text(spark, sf_dir):
+    store = EndpointStore(spark, endpoints(spark, sf_dir, "nation"), compat=True)
+    return spark.createDataFrame([(store.ql("{ return nation where their.n_regionkey == 1 }"),)], "text string")
+
+
+@query("SELECT c_name AS name FROM customer WHERE c_custkey = 3")
+def comments_and_spaces(spark, sf_dir):
+    store = EndpointStore(spark, endpoints(spark, sf_dir, "customer"))
+    return spark.createDataFrame([(store.ql("{ // a line\n /* and\n more */ return\n customer . c-3 . c_name /**/ }"),)], "name string")
+
+
+BAD = {
+    "base is no path": '{ return "x" where their.a == 1 }', "their with their": "{ return x where their.a == their.b }", "their outside": "{ return their.a }", "unknown function": "{ return size(x) }", "their without attribute": "{ return x where their == 1 }",
+    "no order of booleans": "{ return x where their.a < true }", "no semicolon": "{ a.b = 1 return a.b }", "count of two": "{ return count(a, b) }", "wildcard stored": "{ a.* = 1; }", "nothing there": "{ return no.such.path }", "nothing to delete": "{ delete no.such.path; }",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS query, '{'NotFound' if k.startswith('nothing') else 'PathError' if k == 'wildcard stored' else 'InvalidOperation'}' AS error" for k in BAD))
+def rejected_queries(spark, sf_dir):
+    def error(text: str) -> str:
+        try:
+            EndpointStore(spark).ql(text)
+        except WaypostError as e:
+            return type(e).__name__
+        return "none"
+
+    return spark.createDataFrame([(k, error(text)) for k, text in BAD.items()], "query string, error string")
+
+
+@query("SELECT 0 AS n, 5 * count(*) AS everything FROM customer")
+def empty_pattern(spark, sf_dir):
+    ep = endpoints(spark, sf_dir, "customer")
+    return scan.count(scan.query(ep, "")).crossJoin(scan.count(scan.get_prefix(ep, "")).withColumnRenamed("n", "everything"))  # a row each
+
+
+@query(f"SELECT path FROM ({CUSTOMER_CELLS}) WHERE path LIKE '%.c_acctbal' UNION ALL SELECT path FROM ({SUPPLIER_CELLS}) WHERE path LIKE '%.c_acctbal'")
+def wildcard_suffix(spark, sf_dir):
+    return scan.query(endpoints(spark, sf_dir, "customer").union(endpoints(spark, sf_dir, "supplier")), "**.c_acctbal").select("path")
+
+
+# values
+
+
+@query("""SELECT 'n.' || n_nationkey || '.' || k AS path, t AS vtype, CASE k WHEN 'a' THEN n_nationkey % 2 = 0 END AS v_bool, CASE k WHEN 'b' THEN n_nationkey - 5 END AS v_int, CASE k WHEN 'c' THEN n_nationkey + 0.5 END AS v_float,
+CASE k WHEN 'd' THEN n_name || ' "é"' WHEN 'h' THEN '[1,{"a":2}]' END AS v_str, CASE k WHEN 'f' THEN 'text/plain' END AS v_mime, CASE k WHEN 'f' THEN n_name END AS told, CASE k WHEN 'g' THEN 'nation.n-' || n_nationkey END AS v_ref
+FROM nation, (VALUES ('a', 'boolean'), ('b', 'integer'), ('c', 'float'), ('d', 'string'), ('e', 'null'), ('f', 'binary'), ('g', 'reference'), ('h', 'string')) AS x(k, t)""")
+def json_decode_types(spark, sf_dir):
+    values = {
+        "a": "CAST(n_nationkey % 2 = 0 AS STRING)", "b": "CAST(n_nationkey - 5 AS STRING)", "c": "concat(n_nationkey, '.5')", "d": "concat('\"', n_name, ' \\\\\"é\\\\\"\"')", "e": "'null'",
+        "f": "to_json(named_struct('type', 'binary', 'data', base64(CAST(n_name AS BINARY)), 'mime', 'text/plain'))", "g": "to_json(named_struct('type', 'reference', 'path', concat('nation.n-', n_nationkey)))", "h": "'[1,{\"a\":2}]'",
+    }
+    pairs = ", ".join(f"named_struct('path', concat('n.', n_nationkey, '.{k}'), 'value', {v})" for k, v in values.items())
+    told = S.from_json_text(table(spark, sf_dir, "nation").selectExpr(f"inline(array({pairs}))"))
+    return told.select("path", "vtype", "v_bool", "v_int", "v_float", "v_str", "v_mime", F.col("v_bin").cast("string").alias("told"), "v_ref")
+
+
+@query(f"SELECT path FROM ({CUSTOMER_CELLS}) WHERE path NOT LIKE '%.c_acctbal' AND path NOT LIKE '%.c_name' OR path = 'customer.c-4.c_name'")
+def visible_endpoints(spark, sf_dir):
+    rules = [("customer.**", True), ("customer.*.c_acctbal", False), ("customer.*.c_name", False), ("customer.c-4.c_name", True)]
+    return access.visible(endpoints(spark, sf_dir, "customer"), rules).select("path")
+
+
+@query(f"SELECT path, 'value' AS found FROM ({CUSTOMER_CELLS}) WHERE v_str = 'BUILDING' AND path LIKE '%.c_mktsegment' UNION ALL SELECT path, 'order' FROM ({CUSTOMER_CELLS}) WHERE path LIKE '%.c_acctbal' AND v_float < 0")
+def value_index_lookup(spark, sf_dir):
+    index = ValueIndex(endpoints(spark, sf_dir, "customer"))
+    for pattern in ("customer.*.c_mktsegment", "customer.*.c_acctbal", "customer.*.c_name"):
+        index.register(pattern)
+    index.unregister("customer.*.c_name")
+    index.materialize(scratch(spark, "values"))
+    return index.find_by_value("BUILDING").select("path", F.lit("value").alias("found")).union(index.find_by_condition("<", 0).select("path", F.lit("order")))
+
+
+@query("SELECT 0 AS left_over, 1 AS after")
+def cleared(spark, sf_dir):
+    """Clearing a store in a folder, an index, and writing again."""
+    at = scratch(spark, "cleared")
+    store, index = EndpointStore.open(spark, at), ValueIndex(endpoints(spark, sf_dir, "customer"))
+    store.load(endpoints(spark, sf_dir, "supplier"))
+    store.clear()
+    index.register("customer.**")
+    index.clear()
+    left = EndpointStore.open(spark, at).count() + index.rows().count()
+    store.set("a.b", 1)
+    store.flush()
+    return spark.createDataFrame([(left, EndpointStore.open(spark, at).count())], "left_over long, after long")
+
+
+# the store
+
+
+CHANGED = "SELECT 'customer.c-' || c_custkey || '.c_name' AS path, CASE WHEN c_custkey = 5 THEN 'someone' ELSE c_name END AS v_str FROM customer WHERE c_custkey <> 6"
+
+
+def _kept(spark, sf_dir, label: str) -> EndpointStore:
+    """A store in a folder: customers' names loaded (change 1), compacted, then changed by changes 2 and 3, compacted, and change 4."""
+    at = scratch(spark, label)
+    store = EndpointStore.open(spark, at)
+    store.load(endpoints(spark, sf_dir, "customer", ["c_name"]))
+    store.compact()
+    other = EndpointStore.open(spark, at)
+    other.set("customer.c-5.c_name", "someone")
+    other.delete("customer.c-6.c_name")
+    other.flush()
+    other.compact()
+    store.refresh()
+    store.set("added.x.y", 1)
+    store.flush()
+    return EndpointStore.open(spark, at)
+
+
+@query(f"{CHANGED} UNION ALL SELECT 'added.x.y', NULL")
+def persistent_store(spark, sf_dir):
+    """Written, flushed, compacted, and opened again."""
+    return _kept(spark, sf_dir, "kept").endpoints.select("path", "v_str")
+
+
+@query(f"SELECT 'customer.c-' || c_custkey || '.c_name' AS path, c_name AS v_str, 1 AS until FROM customer UNION ALL SELECT *, 3 FROM ({CHANGED})")
+def snapshot_before_compaction(spark, sf_dir):
+    store = _kept(spark, sf_dir, "snapshots")
+    return store.snapshot(until_seq=1).select("path", "v_str", F.lit(1).alias("until")).union(store.snapshot(until_seq=3).select("path", "v_str", F.lit(3)))
+
+
+@query("SELECT 1 AS seq, c_name AS v_str, false AS deleted FROM customer WHERE c_custkey = 5 UNION ALL SELECT 2, 'someone', false")
+def history_across_compactions(spark, sf_dir):
+    return _kept(spark, sf_dir, "history").history("customer.c-5.c_name").select("seq", "v_str", "deleted")
+
+
+@query("SELECT c_name AS v_str, 'first' AS writer FROM customer WHERE c_custkey = 5 UNION ALL SELECT 'mine', 'copy' UNION ALL SELECT 'mine', 'mut'")
+def facade(spark, sf_dir):
+    """A store made from another has its own writes; ``store_mut`` is the store itself."""
+    first = EndpointStore(spark, endpoints(spark, sf_dir, "customer"))
+    copy = EndpointStore.from_store(first)
+    copy.store_mut().set("customer.c-5.c_name", "mine")
+    path = "customer.c-5.c_name"
+    return spark.createDataFrame([(first.get(path), "first"), (copy.get(path), "copy"), (copy.store_mut().get(path), "mut")], "v_str string, writer string")
+
+
+@query(f"SELECT path FROM ({CUSTOMER_CELLS}) UNION ALL SELECT path FROM ({SUPPLIER_CELLS})")
+def list_everything(spark, sf_dir):
+    store = EndpointStore(spark, endpoints(spark, sf_dir, "customer"))
+    store.load(endpoints(spark, sf_dir, "supplier"))
+    return store.list_prefix()
+
+
+@query("""SELECT 'ok' AS data, '/health' AS route UNION ALL SELECT c_name, 'get' FROM customer WHERE c_custkey = 5 UNION ALL SELECT 'error: NotFound: customer.no', 'missing' UNION ALL SELECT '9', 'set' UNION ALL SELECT CAST(5 * count(*) + 1 AS VARCHAR), 'list' FROM customer
+UNION ALL SELECT CAST(5 * count(*) AS VARCHAR), 'query' FROM customer UNION ALL SELECT 'error: No such route: GET /nowhere', 'route'""")
+def http_round_trip(spark, sf_dir):
+    """Server and client."""
+    with Server(EndpointStore(spark, endpoints(spark, sf_dir, "customer"))) as server:
+        client = Client(server.address)
+
+        def told(act) -> str:
+            try:
+                return str(act())
+            except WaypostError as e:
+                return f"error: {e}"
+
+        rows = [(told(client.health).lower(), "/health"), (told(lambda: client.get("customer.c-5.c_name")), "get"), (told(lambda: client.get("customer.no")), "missing")]
+        client.set("http.x.n", 9)
+        rows += [(told(lambda: client.get("http.x.n")), "set"), (told(lambda: len(client.list())), "list"), (told(lambda: client.query('{ return count("customer") }')), "query"), (told(lambda: client.ask("/nowhere")), "route")]
+    return spark.createDataFrame(rows, "data string, route string")
+
+
+@query("""SELECT 'text' AS form, '{' || chr(10) || '  "r_name": "' || r_name || '",' || chr(10) || '  "r_regionkey": ' || r_regionkey || chr(10) || '}' AS text FROM region WHERE r_regionkey = 2
+UNION ALL SELECT 'json', '{' || chr(10) || '  "r_name": "' || r_name || '",' || chr(10) || '  "r_regionkey": ' || r_regionkey || chr(10) || '}' FROM region WHERE r_regionkey = 2
+UNION ALL SELECT 'paths', 'region.r-2.r_name' || chr(10) || 'region.r-2.r_regionkey' UNION ALL SELECT 'message', 'Error: no'""")
+def rendered(spark, sf_dir):
+    store = EndpointStore(spark, endpoints(spark, sf_dir, "region"))
+    found = store.get_entity("region.r-2")
+    paths = [r["path"] for r in store.list_prefix("region.r-2").orderBy("path").collect()]
+    return spark.createDataFrame([("text", render.render(found)), ("json", render.render(found, "json")), ("paths", render.render_paths(paths)), ("message", render.render_message("error", "no"))], "form string, text string")
+
+
+@query("SELECT 'supplier.s-' || s_suppkey || '.s_acctbal' AS path, s_acctbal AS v_float FROM supplier WHERE s_acctbal > 1000")
+def subscription(spark, sf_dir):
+    """The changes of a pattern as a stream, run until it has caught up."""
+    at = scratch(spark, "subscribed")
+    EndpointStore.open(spark, at).load(endpoints(spark, sf_dir, "supplier"))
+    changed = subscribe.subscribe(spark, at, "supplier.*.s_acctbal", F.col("v_float") > 1000).select("path", "v_float")
+    out = scratch(spark, "caught")
+    changed.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-at").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("path string, v_float double").parquet(out)
 
 
 @query("SELECT 'c-' || c_custkey AS id, c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 1000")

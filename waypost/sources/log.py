@@ -1,9 +1,9 @@
 """The change log: endpoints with a sequence number, a tombstone flag and a time.
 
 A write or a deletion is a row; the current state of a path is its row of the
-highest number.  Files are partitioned by root, so a scan below a literal head
-reads one folder.  A base and a log written after it make compaction an
-ordinary write to a new folder.
+highest number; of rows of one batch with one number, the one of the highest hash of its value.  Files are partitioned by batch and root, so a scan below a literal head
+reads one folder of each batch since the base.  A base and a log written after it make compaction an
+ordinary write to a new folder; what was before stays readable for history and snapshots.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def current(log: DataFrame, until_seq: int | None = None, as_of=None) -> DataFra
     rows = log if until_seq is None else log.where(F.col("seq") <= until_seq)
     rows = rows if as_of is None else rows.where(F.col("ts") <= F.lit(as_of))
     state = F.struct(*[c for c in ENDPOINT if c not in ("root", "path")], "deleted")
-    last = rows.groupBy("root", "path").agg(F.max_by(state, "seq").alias("s"))
+    last = rows.groupBy("root", "path").agg(F.max_by(state, F.struct("seq", F.xxhash64("deleted", *V.VALUE_COLUMNS))).alias("s"))
     return last.where("NOT s.deleted").select(*[F.col(c) if c in ("root", "path") else F.col(f"s.{c}").alias(c) for c in ENDPOINT])
 
 
@@ -46,9 +46,12 @@ def stats(log: DataFrame) -> DataFrame:
     return log.agg(F.count("*").alias("total_operations"), F.count_if(~F.col("deleted")).alias("total_adds"), F.count_if(F.col("deleted")).alias("total_removes"))
 
 
-def write(log: DataFrame, path: str, mode: str = "append") -> None:
-    log.sortWithinPartitions("root", "path").write.mode(mode).partitionBy("root").parquet(path)
+def write(log: DataFrame, path: str, batch: int) -> None:
+    log.sortWithinPartitions("root", "path").write.mode("overwrite").partitionBy("root").parquet(f"{path}/batch={batch}")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(V.LOG_SCHEMA).parquet(path).select(*[f.name for f in V.LOG_SCHEMA.fields])
+def read(spark: SparkSession, path: str, after: int = -1, but: list[int] | None = None) -> DataFrame:
+    """The log's rows of batches beyond number ``after`` that are not among the unfinished ones of ``but``."""
+    names = [f.name for f in V.LOG_SCHEMA.fields]
+    rows = spark.read.schema(V.BATCHED_LOG_SCHEMA).parquet(path).where(F.col("batch") > after)
+    return (rows.where(~F.col("batch").isin(but)) if but else rows).select(*names)

@@ -11,10 +11,10 @@ from waypost.functions import values as V
 
 def subscribe(spark: SparkSession, store_path: str, pattern: str, condition: Column | None = None, compat: bool = False, files_per_trigger: int | None = None) -> DataFrame:
     """A streaming DataFrame of changes whose path matches ``pattern``; ``condition`` is on endpoint columns."""
-    reader = spark.readStream.schema(V.LOG_SCHEMA)
+    reader = spark.readStream.schema(V.BATCHED_LOG_SCHEMA)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    rows = reader.parquet(f"{store_path.rstrip('/')}/log").where(P.matching(P.parse(pattern, compat), compat))
+    rows = reader.parquet(f"{store_path.rstrip('/')}/log").drop("batch").where(P.matching(P.parse(pattern, compat), compat))
     return rows if condition is None else rows.where(condition)
 
 
