@@ -7,7 +7,8 @@ reads come to the driver.  Whatever can be rejected is rejected before any job s
 from __future__ import annotations
 
 import uuid as uuids
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -17,10 +18,12 @@ from waypost import render
 from waypost.errors import InvalidOperation, NotFound
 from waypost.functions import paths as P
 from waypost.functions import values as V
-from waypost.operators import entity, scan, where
+from waypost.operators import analysis, entity, scan, where
 from waypost.plans import language as L
 
-FUNCTIONS = ("count", "now", "uuid")
+FUNCTIONS = ("count", "now", "uuid", "days", "endpoints", "sum", "avg", "min", "max")
+#: Columns of ``attribute_stats`` by function.
+STATS = {"sum": "total", "avg": "mean", "min": "least", "max": "greatest"}
 
 
 def condition_of(c: L.Compare) -> where.Condition:
@@ -33,6 +36,11 @@ def condition_of(c: L.Compare) -> where.Condition:
 
 
 def conditions_of(tree: Any) -> Any:
+    if isinstance(tree, L.Compare) and tree.op == "in":
+        if not isinstance(tree.left, L.Their) or not isinstance(tree.right, L.Items):
+            raise InvalidOperation("in has their.attribute before and a list after it")
+        found = [conditions_of(L.Compare(tree.left, "==", v)) for v in tree.right.values]
+        return ("or", found) if found else where.Condition(tree.left.segments, "==", float("nan"))  # which equals nothing
     if isinstance(tree, L.Compare):
         found = condition_of(tree)
         if not found.attribute:
@@ -43,21 +51,57 @@ def conditions_of(tree: Any) -> Any:
     return (tree[0], [conditions_of(t) for t in tree[1]])
 
 
+def known(tree: Any) -> Any:
+    """Conditions with 0 for what is only known when the query runs, so the rest can be checked before."""
+    if not isinstance(tree, L.Compare):
+        return (tree[0], [known(t) for t in tree[1]])
+    side = lambda x: L.Literal(0) if isinstance(x, (L.Var, L.Arith)) else x
+    right = L.Items((L.Literal(0),)) if tree.op == "in" and isinstance(tree.right, (L.Var, L.Items)) else side(tree.right)
+    return L.Compare(side(tree.left), tree.op, right)
+
+
+def endpoint_conditions(tree: Any) -> Column:
+    """Conditions on ``path.includes(text)`` and ``value``, as a predicate; values of other types than the literal's are passed over."""
+    if not isinstance(tree, L.Compare):
+        parts = [endpoint_conditions(t) for t in tree[1]]
+        return reduce((lambda a, b: a | b) if tree[0] == "or" else (lambda a, b: a & b), parts)
+    left, op, right = (tree.left, tree.op, tree.right) if isinstance(tree.right, L.Literal) else (tree.right, L.FLIPPED.get(tree.op), tree.left)
+    if not isinstance(right, L.Literal) or left not in (L.PathOf(("path",)), L.PathOf(("value",))) or (op == "includes") != (left.segments == ("path",)):
+        raise InvalidOperation("A condition on endpoints is path.includes(text) or compares value with a literal")
+    if op == "includes":
+        if not isinstance(right.value, str):
+            raise InvalidOperation("path.includes takes a text")
+        return F.contains(F.col("path"), F.lit(right.value))
+    if op in ("==", "!="):
+        return V.comparison(op, right.value)
+    kinds = ["string"] if isinstance(right.value, str) else ["integer", "float"]
+    return F.when(F.col("vtype").isin(kinds), V.comparison(op, right.value)).otherwise(F.lit(False))
+
+
 def check(node: Any) -> None:
     """Rejects what no store could answer."""
+    if isinstance(node, L.Arith):
+        check(node.left)
+        check(node.right)
     if isinstance(node, L.Their):
         raise InvalidOperation("their stands outside a where")
     if isinstance(node, L.Call):
         if node.name not in FUNCTIONS:
             raise InvalidOperation(f"Unknown function: {node.name}")
-        if node.name == "count" and len(node.args) != 1:
-            raise InvalidOperation("count takes one argument")
+        if node.name not in ("now", "uuid") and len(node.args) != 1:
+            raise InvalidOperation(f"{node.name} takes one argument")
+        if node.name in ("endpoints", *STATS) and not isinstance(node.args[0], L.PathOf):
+            raise InvalidOperation(f"{node.name} takes a pattern")
         for a in node.args:
             check(a)
     if isinstance(node, L.Where):
+        if isinstance(node.base, L.Call) and node.base.name == "endpoints":
+            check(node.base)
+            endpoint_conditions(known(node.tree))
+            return
         if not isinstance(node.base, L.PathOf):
             raise InvalidOperation("where needs a path before it")
-        conditions_of(node.tree)
+        conditions_of(known(node.tree))
 
 
 def shaped(ep: DataFrame, base: tuple[str, ...], fields: tuple) -> DataFrame:
@@ -92,6 +136,60 @@ class Run:
     def __init__(self, store):
         self.store, self.compat = store, store.compat
         self.writes: dict[str, tuple[Any, bool]] = {}
+        self.variables: dict[str, Any] = {}
+
+    def resolved(self, segments: tuple[str, ...]) -> tuple[str, ...]:
+        """Segments with variables' values in place of their names."""
+        if not any(isinstance(s, L.Held) for s in segments):
+            return segments
+        out: list[str] = []
+        for s in segments:
+            value = self.variables[s] if isinstance(s, L.Held) else s
+            if not isinstance(value, str) and (isinstance(value, bool) or not isinstance(value, int)):
+                raise InvalidOperation(f"{s} is no segment of a path")
+            out.append(str(value))
+        return tuple(out)
+
+    def filled(self, tree: Any) -> Any:
+        """Conditions with the values of variables and arithmetic."""
+        if not isinstance(tree, L.Compare):
+            return (tree[0], [self.filled(t) for t in tree[1]])
+        side = lambda x: L.Literal(self.scalar(x)) if isinstance(x, (L.Var, L.Arith)) else x
+        if tree.op != "in":
+            return L.Compare(side(tree.left), tree.op, side(tree.right))
+        if isinstance(tree.right, L.Var):
+            held = self.value(tree.right)
+            if not isinstance(held, list):
+                raise InvalidOperation(f"{tree.right.name} is no list")
+            return L.Compare(tree.left, "in", L.Items(tuple(L.Literal(v) for v in held)))
+        return L.Compare(tree.left, "in", L.Items(tuple(map(side, tree.right.values))))
+
+    def variable(self, node: L.Var) -> Any:
+        found = self.variables[node.name]
+        for s in self.resolved(node.segments):
+            i = P.as_index(s)
+            if isinstance(found, list) and i is not None and i < len(found):
+                found = found[i]
+            elif isinstance(found, dict) and s in found:
+                found = found[s]
+            else:
+                raise NotFound(P.text_of((node.name, *node.segments)))
+        return found
+
+    def arith(self, node: L.Arith) -> Any:
+        a, b = self.scalar(node.left), self.scalar(node.right)
+        number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool)
+        if isinstance(b, timedelta) and isinstance(a, str) and node.op in "+-":
+            try:
+                at = datetime.fromisoformat(a)
+            except ValueError:
+                raise InvalidOperation(f"{a} is no time") from None
+            return (at + b if node.op == "+" else at - b).isoformat()
+        if node.op == "+" and isinstance(a, str) and isinstance(b, str):
+            return a + b
+        if not number(a) or not number(b) or (node.op == "/" and b == 0):
+            raise InvalidOperation(f"No {node.op} of {a!r} and {b!r}")
+        return {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / b}[node.op]()
 
     def endpoints(self) -> DataFrame:
         return self.store.overlaid(self.writes)
@@ -118,18 +216,25 @@ class Run:
             return node.value
         if isinstance(node, L.Call):
             return self.call(node)
+        if isinstance(node, L.Var):
+            return self.variable(node)
+        if isinstance(node, L.Arith):
+            return self.arith(node)
         if isinstance(node, L.PathOf):
-            return self.path_value(node.segments)
+            return self.path_value(self.resolved(node.segments))
         if isinstance(node, L.Shaped):
-            found = shaped(self.endpoints(), node.base.segments, node.fields)
-            if P.has_wildcards(node.base.segments):
+            base = self.resolved(node.base.segments)
+            found = shaped(self.endpoints(), base, node.fields)
+            if P.has_wildcards(base):
                 return found
             row = found.first()
             if row is None:
-                raise NotFound(P.text_of(node.base.segments))
+                raise NotFound(P.text_of(base))
             return row["json"]
+        if isinstance(node, L.Where) and isinstance(node.base, L.Call):
+            return self.value(node.base).where(endpoint_conditions(self.filled(node.tree)))
         if isinstance(node, L.Where):
-            base, tree = node.base.segments, conditions_of(node.tree)
+            base, tree = self.resolved(node.base.segments), conditions_of(self.filled(node.tree))
             ep = self.endpoints()
             if not self.compat:
                 return entity.json(where.filtered(ep, base, tree))
@@ -157,6 +262,17 @@ class Run:
         if node.name == "uuid":
             return str(uuids.uuid4())
         arg = node.args[0]
+        if node.name == "days":
+            n = self.scalar(arg)
+            if isinstance(n, bool) or not isinstance(n, (int, float)):
+                raise InvalidOperation("days takes a number")
+            return timedelta(days=n)
+        if isinstance(arg, L.PathOf):
+            arg = L.PathOf(self.resolved(arg.segments))
+        if node.name == "endpoints":
+            return scan.query(self.endpoints(), P.text_of(arg.segments)).select("path", *V.VALUE_COLUMNS)
+        if node.name in STATS:
+            return analysis.attribute_stats(self.endpoints(), P.text_of(arg.segments)).first()[STATS[node.name]]
         if isinstance(arg, L.PathOf) and P.has_wildcards(arg.segments):
             return scan.query(self.endpoints(), P.text_of(arg.segments)).count()
         path = self.scalar(arg)
@@ -168,14 +284,19 @@ class Run:
 
     def run(self, query: L.Query) -> Any:
         for op in query.operations:
-            if op[0] == "set":
+            if op[0] != "delete":
                 check(op[2])
+            if op[0] == "set":
                 P.checked_path(P.text_of(op[1]))
         if query.result is not None:
             check(query.result)
         for op in query.operations:
-            path = P.text_of(op[1])
+            if op[0] == "let":
+                self.variables[op[1]] = self.value(op[2])
+                continue
+            path = P.text_of(self.resolved(op[1]))
             if op[0] == "set":
+                P.checked_path(path)
                 self.writes[path] = (self.scalar(op[2]), False)
             else:
                 self.get(path)

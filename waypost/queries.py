@@ -522,6 +522,30 @@ def wildcard_suffix(spark, sf_dir):
     return scan.query(endpoints(spark, sf_dir, "customer").union(endpoints(spark, sf_dir, "supplier")), "**.c_acctbal").select("path")
 
 
+@query("SELECT 'c-' || c_custkey AS id FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey = (SELECT c_nationkey + 1 FROM customer WHERE c_custkey = 3)")
+def ql_in_and_variables(spark, sf_dir):
+    store = EndpointStore(spark, endpoints(spark, sf_dir, "customer"))
+    return store.ql('{ let who = customer.c-3; let next = who.c_nationkey + 1; return customer where their.c_mktsegment in ["BUILDING", "MACHINERY"] && their.c_nationkey == next }').select("id")
+
+
+@query("SELECT 'customer.n-7.name' AS path, 'new' AS v_str, NULL AS v_int UNION ALL SELECT 'customer.n-7.profile.size', NULL, 3")
+def ql_batch(spark, sf_dir):
+    store = EndpointStore(spark, endpoints(spark, sf_dir, "customer"))
+    return store.ql('{ let id = "n-" + "7"; batch(customer[id]) { set ["name"] = "new" set ["profile.size"] = 2 + 1; } return customer.n-7.** }').select("path", "v_str", "v_int")
+
+
+@query("SELECT 'part.p-' || p_partkey || '.p_size' AS path, CAST(p_size AS BIGINT) AS v_int FROM part WHERE CAST(p_partkey AS VARCHAR) LIKE '%7%' AND p_size > 40")
+def ql_endpoints_where(spark, sf_dir):
+    return EndpointStore(spark, endpoints(spark, sf_dir, "part")).ql('{ return endpoints(part.*.p_size) where path.includes("7") && value > 40 }').select("path", "v_int")
+
+
+@query("SELECT round(sum(c_acctbal), 2) AS total, round(avg(c_acctbal), 4) AS mean, min(c_acctbal) AS least, max(c_acctbal) - min(c_acctbal) AS spread FROM customer")
+def ql_sums(spark, sf_dir):
+    store = EndpointStore(spark, endpoints(spark, sf_dir, "customer"))
+    total, mean, least, spread = (store.ql("{ return %s }" % x) for x in ("sum(customer.*.c_acctbal)", "avg(customer.*.c_acctbal)", "min(customer.*.c_acctbal)", "max(customer.*.c_acctbal) - min(customer.*.c_acctbal)"))
+    return spark.createDataFrame([(round(total, 2), round(mean, 4), least, spread)], "total double, mean double, least double, spread double")
+
+
 # values
 
 
