@@ -185,3 +185,19 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the mix takes each of the ``documents``, in words."""
     found = mix(shared.table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources' sizes and targets that op6 mixes ``documents`` to."""
+    return op6_mixing(spark, sf_dir).select("doc_id", "size", "source_size", "target")
+
+
+TARGETS_ORACLE = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(size) AS BIGINT) * {MOST_COPIES} AS most, {list(WEIGHTS)}[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)}] AS weight FROM d GROUP BY source),
+placed AS (SELECT *, row_number() OVER (ORDER BY most / weight, source NULLS LAST) AS place FROM per),
+filled AS (SELECT *, sum(source_size) OVER () - coalesce(sum(most) OVER w, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS weights FROM placed WINDOW w AS (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+free AS (SELECT min(place) AS place, arg_min(rest, place) AS rest, arg_min(weights, place) AS weights FROM filled WHERE rest * weight < most * weights)
+SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, f.source_size, CAST(CASE WHEN free.place IS NULL OR f.place < free.place THEN f.most ELSE CAST(free.rest * f.weight AS DOUBLE) / free.weights END AS DOUBLE) AS target
+FROM d JOIN filled AS f ON d.source IS NOT DISTINCT FROM f.source, free
+"""

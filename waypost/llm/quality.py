@@ -246,3 +246,21 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and the classifier's verdict on all ``documents``."""
     docs = shared.table(spark, sf_dir, "documents")
     return score(docs, train(docs, shared.table(spark, sf_dir, "labels"))).drop("p_good")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and base rules of op7 on all ``documents``, without the classifier."""
+    return score(shared.table(spark, sf_dir, "documents"), None).drop("p_good", "kept")
+
+
+BASE_ORACLE = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (SELECT doc_id, i, array_to_string(w[i:i + {REPEAT_WINDOW - 1}], ' ') AS g FROM d, LATERAL unnest(range(1, len(w) - {REPEAT_WINDOW - 2})) AS r(i)),
+twice AS (SELECT doc_id, g FROM runs GROUP BY doc_id, g HAVING count(*) > 1),
+again AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + {REPEAT_WINDOW})) AS k FROM runs JOIN twice USING (doc_id, g)) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+counted AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id))
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS base_failed FROM counted
+"""
