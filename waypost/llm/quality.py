@@ -167,9 +167,10 @@ def trainer(seed: int) -> Callable:
 
         rows, y = [], []
         for batch in batches:
-            for label, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if found:
-                    rows.append((np.frombuffer(found, np.int32, len(found) // 8), np.frombuffer(found, np.float32, len(found) // 8, len(found) // 2)))
+            for label, cell in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                found = cell.as_buffer()  # not copied
+                if found.size:
+                    rows.append((np.frombuffer(found, np.int32, found.size // 8), np.frombuffer(found, np.float32, found.size // 8, found.size // 2)))
                     y.append(float(label))
         labels = np.array(y)
         chosen = np.random.Generator(np.random.PCG64(seed)).random(len(labels)) < 0.75
@@ -211,12 +212,13 @@ def scorer(model: dict | None) -> Callable:
         import pyarrow as pa
 
         for batch in batches:
-            out = [judged(model, t) for t in batch.column(1).to_pylist()]
-            counts = zip(*(o[0] for o in out), strict=True) if out else [[]] * len(COUNTS)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array([o[1] for o in out], pa.bool_()), pa.array([o[2] for o in out], pa.float64()), pa.array([not o[1] and o[2] >= KEEP_AT for o in out], pa.bool_())],
-                [batch.schema.names[0], *COUNTS, "base_failed", "p_good", "kept"],
-            )
+            for part in shared.slices(batch, 1, DOCS_AT_ONCE, BYTES_AT_ONCE):
+                out = [judged(model, t) for t in part.column(1).to_pylist()]
+                counts = zip(*(o[0] for o in out), strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array([o[1] for o in out], pa.bool_()), pa.array([o[2] for o in out], pa.float64()), pa.array([not o[1] and o[2] >= KEEP_AT for o in out], pa.bool_())],
+                    [part.schema.names[0], *COUNTS, "base_failed", "p_good", "kept"],
+                )
 
     return run
 
@@ -236,8 +238,9 @@ def keep_good(docs: DataFrame, model: dict | None, text_col: str = "text") -> Da
         import pyarrow as pa
 
         for batch in batches:
-            verdicts = (judged(model, t) for t in batch.column(at).to_pylist())
-            yield batch.filter(pa.array([not failed and p >= KEEP_AT for _, failed, p in verdicts], pa.bool_()))
+            for part in shared.slices(batch, at, DOCS_AT_ONCE, BYTES_AT_ONCE):
+                verdicts = (judged(model, t) for t in part.column(at).to_pylist())
+                yield part.filter(pa.array([not failed and p >= KEEP_AT for _, failed, p in verdicts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
