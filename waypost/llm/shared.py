@@ -58,6 +58,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def slices(batch, column: int, rows: int, size: int) -> Iterator:
     """Pieces of an Arrow batch of at most ``rows`` rows and about ``size`` bytes in a text column; a longer text is a piece by itself."""
     import numpy as np
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     bytes_to = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -67,6 +68,7 @@ def slices(batch, column: int, rows: int, size: int) -> Iterator:
         last = min(first + rows, max(first + 1, int(np.searchsorted(bytes_to, before + size, side="right"))))
         yield batch.slice(first, last - first)
         first = last
+    pa.default_memory_pool().release_unused()  # of the batches before; a worker outlives its task
 
 
 def labelled_texts(docs: DataFrame, known: DataFrame, rows: int, size: int, seed: int, id_col: str, text_col: str) -> DataFrame:
@@ -97,7 +99,9 @@ def fitted(sample: DataFrame, fit: Callable, *order: str):
 
         import pyarrow as pa
 
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(batches))], pa.binary())], ["model"])
+        model = pickle.dumps(fit(batches))
+        pa.default_memory_pool().release_unused()  # the worker outlives its task
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     import pickle
 
