@@ -28,22 +28,23 @@ def duplicates(ep: DataFrame, pattern: str) -> DataFrame:
 def dangling(ep: DataFrame, pattern: str) -> DataFrame:
     """References of a pattern to which no endpoint, nor anything below it, exists: path, v_ref."""
     refs = scan.query(ep, pattern).where(F.col("vtype") == "reference").select("path", "v_ref")
-    heads = ep.select(F.explode(F.transform(F.sequence(F.lit(1), F.col("depth")), lambda n: F.array_join(F.slice("segments", 1, n), "."))).alias("v_ref")).distinct()
+    heads = scan.heads(ep, refs).select(F.col("__at").alias("v_ref")).distinct()
     return refs.join(heads, "v_ref", "left_anti").select("path", "v_ref")
 
 
-def vector_search(ep: DataFrame, base: str, attribute: str, vector: list[float], limit: int, least: float = -1.0) -> DataFrame:
+def vector_search(ep: DataFrame, base: str, attribute: str, vector: list[float], limit: int | None, least: float = -1.0) -> DataFrame:
     """(id, similarity): the entities below ``base`` whose array attribute is nearest to a vector by cosine.
 
     Components are endpoints, so the products are summed by one aggregation,
-    and only the best ``limit`` rows leave the tasks.
+    and with a limit only so many of the best rows leave the tasks.
     """
     placed = entity.with_entity(ep, P.parse(base)).where(F.col("rel").startswith(f"{attribute}.["))
     i = F.regexp_extract("rel", r"\[(\d+)\]$", 1).cast("int")
     x, q = F.expr(_NUMBER), F.get(F.array(*[F.lit(float(v)) for v in vector]), i)
     norm = sum(v * v for v in vector) ** 0.5
     found = placed.groupBy("id").agg((F.sum(x * q) / (F.sqrt(F.sum(x * x)) * norm)).alias("similarity"))
-    return found.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id").limit(limit)
+    best = found.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id")
+    return best if limit is None else best.limit(limit)
 
 
 def related(ep: DataFrame, base: str, attribute: str) -> DataFrame:

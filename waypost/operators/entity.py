@@ -132,10 +132,16 @@ def arrays(placed: DataFrame, rel: str, value_column: str) -> DataFrame:
     return entries.select("id", F.transform(F.sequence(F.lit(0), "last"), lambda i: F.try_element_at("m", i)).alias("items"))
 
 
-def reconstruct(ep: DataFrame, path: str, compat: bool = False) -> Any:
-    """One entity as Python data: a scalar, dict or list; its endpoints come to the driver."""
+#: Endpoints that may come to the driver as one entity.
+MOST_ON_DRIVER = 100_000
+
+
+def reconstruct(ep: DataFrame, path: str, compat: bool = False, most: int = MOST_ON_DRIVER) -> Any:
+    """One entity as Python data: a scalar, dict or list; its endpoints come to the driver, and more than ``most`` are refused."""
     segments = P.parse(path)
-    rows = scan.get_prefix(ep, P.text_of(segments)).orderBy("path").collect()
+    rows = scan.get_prefix(ep, P.text_of(segments)).select("path", "segments", *V.VALUE_COLUMNS).limit(most + 1).collect()
     if not rows:
         raise NotFound(path)
-    return nest([(tuple(r["segments"][len(segments) :]), V.from_row(r)) for r in rows], compat)
+    if len(rows) > most:
+        raise InvalidOperation(f"{path} has more than {most} endpoints: read it by entities() or a shape")
+    return nest([(tuple(r["segments"][len(segments) :]), V.from_row(r)) for r in sorted(rows, key=lambda r: r["path"])], compat)

@@ -73,8 +73,15 @@ def type_census(ep: DataFrame) -> DataFrame:
     return ep.groupBy("root", "vtype").agg(F.count("*").alias("n"))
 
 
+def heads(ep: DataFrame, refs: DataFrame) -> DataFrame:
+    """``ep`` with ``__at``, each beginning of its path that a reference (v_ref) might mean: only roots that references have, and only their depths."""
+    of = F.split("v_ref", r"\.")
+    depths = refs.select(of[0].alias("root"), F.size(of).alias("n")).groupBy("root").agg(F.collect_set("n").alias("__depths"))  # no more than a path's depth has numbers
+    reached = F.filter("__depths", lambda n: n <= F.col("depth"))
+    return ep.join(depths, "root").withColumn("__at", F.explode(F.transform(reached, lambda n: F.array_join(F.slice("segments", 1, n), ".")))).drop("__depths").select(*ep.columns, "__at")
+
+
 def dereference(ep: DataFrame, target: DataFrame) -> DataFrame:
     """References of ``ep`` with the endpoints of ``target`` at or below what they refer to: from_path, and the target's columns."""
     refs = ep.where(F.col("vtype") == "reference").select(F.col("path").alias("from_path"), F.col("v_ref").alias("__ref"))
-    heads = target.withColumn("__at", F.explode(F.transform(F.sequence(F.lit(1), F.col("depth")), lambda n: F.array_join(F.slice("segments", 1, n), "."))))
-    return refs.join(heads, F.col("__ref") == F.col("__at")).drop("__ref", "__at")
+    return refs.join(heads(target, refs.withColumnRenamed("__ref", "v_ref")), F.col("__ref") == F.col("__at")).drop("__ref", "__at")

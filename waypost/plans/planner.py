@@ -21,7 +21,9 @@ from waypost.functions import values as V
 from waypost.operators import analysis, entity, scan, where
 from waypost.plans import language as L
 
-FUNCTIONS = ("count", "now", "uuid", "days", "endpoints", "sum", "avg", "min", "max")
+FUNCTIONS = ("count", "now", "uuid", "days", "endpoints", "sum", "avg", "min", "max", "history", "snapshot", "vector_search", "related_of_related")
+#: Arguments that may be given by name.
+NAMED = {"history": ("from", "to"), "snapshot": ("as_of", "until"), "vector_search": ("limit", "min_similarity")}
 #: Columns of ``attribute_stats`` by function.
 STATS = {"sum": "total", "avg": "mean", "min": "least", "max": "greatest"}
 
@@ -88,12 +90,19 @@ def check(node: Any) -> None:
     if isinstance(node, L.Call):
         if node.name not in FUNCTIONS:
             raise InvalidOperation(f"Unknown function: {node.name}")
-        if node.name not in ("now", "uuid") and len(node.args) != 1:
-            raise InvalidOperation(f"{node.name} takes one argument")
-        if node.name in ("endpoints", *STATS) and not isinstance(node.args[0], L.PathOf):
-            raise InvalidOperation(f"{node.name} takes a pattern")
-        for a in node.args:
+        if node.name not in ("now", "uuid") and len(node.args) != (2 if node.name == "vector_search" else 1):
+            raise InvalidOperation(f"{node.name} takes {'two arguments' if node.name == 'vector_search' else 'one argument'}")
+        if node.name in ("endpoints", "history", "snapshot", "related_of_related", *STATS) and not isinstance(node.args[0], L.PathOf):
+            raise InvalidOperation(f"{node.name} takes a path or pattern")
+        if unknown := [k for k, _ in node.named if k not in NAMED.get(node.name, ())]:
+            raise InvalidOperation(f"{node.name} has no argument {unknown[0]}")
+        for a in (*node.args, *(v for _, v in node.named)):
             check(a)
+    if isinstance(node, L.Sorted):
+        check(node.base)
+    if isinstance(node, L.Items):
+        for v in node.values:
+            check(v)
     if isinstance(node, L.Where):
         if isinstance(node.base, L.Call) and node.base.name == "endpoints":
             check(node.base)
@@ -207,7 +216,7 @@ class Run:
         found = self.value(node)
         if isinstance(found, DataFrame):
             if "json" in found.columns:
-                return "[" + ", ".join(r["json"] for r in found.orderBy("entity").toLocalIterator()) + "]"
+                return "[" + ", ".join(r["json"] for r in found.orderBy(found.columns[0]).toLocalIterator()) + "]"
             return "[" + ", ".join(render.text_value(V.from_row(r)) for r in found.orderBy("path").toLocalIterator()) + "]"
         return render.json_text(found) if isinstance(found, (dict, list)) else found
 
@@ -220,6 +229,10 @@ class Run:
             return self.variable(node)
         if isinstance(node, L.Arith):
             return self.arith(node)
+        if isinstance(node, L.Items):
+            return [self.scalar(v) for v in node.values]
+        if isinstance(node, L.Sorted):
+            return self.sorted(node)
         if isinstance(node, L.PathOf):
             return self.path_value(self.resolved(node.segments))
         if isinstance(node, L.Shaped):
@@ -256,7 +269,65 @@ class Run:
                     raise NotFound(path) from None
                 raise
 
+    def sorted(self, node: L.Sorted) -> DataFrame:
+        """(place, entity, id, json) in the order of an attribute: numbers as numbers, then texts; entities without it last."""
+        found = self.value(node.base)
+        if not isinstance(found, DataFrame) or "entity" not in found.columns:
+            raise InvalidOperation("sort takes a collection of entities")
+        at = "$" + "".join(s if P.is_array_index(s) else f"['{s}']" for s in self.resolved(node.segments))
+        by = F.get_json_object("json", at)
+        order = [c.desc_nulls_last() if node.descending else c.asc_nulls_last() for c in (by.try_cast("double"), by)]
+        return found.orderBy(*order, "entity").select(F.monotonically_increasing_id().alias("place"), "entity", "id", "json")
+
+    def time(self, node: Any) -> datetime:
+        text = self.scalar(node)
+        try:
+            at = datetime.fromisoformat(text)
+        except (TypeError, ValueError):
+            raise InvalidOperation(f"{text} is no time") from None
+        return at if at.tzinfo else at.replace(tzinfo=UTC)
+
+    def numbers(self, node: Any) -> list[float]:
+        found = self.value(node)
+        if not isinstance(found, list) or not found or any(isinstance(x, bool) or not isinstance(x, (int, float)) for x in found):
+            raise InvalidOperation("A vector is a list of numbers")
+        return found
+
+    def one_number(self, named: dict[str, Any], name: str) -> int | float | None:
+        return self.numbers(L.Items((named[name],)))[0] if name in named else None
+
+    def past(self, node: L.Call) -> Any:
+        """``history``: (seq, path, json) of a path's changes; ``snapshot``: an entity as it was.  Neither sees this query's own writes."""
+        path, named = P.text_of(self.resolved(node.args[0].segments)), dict(node.named)
+        if node.name == "history":
+            rows = self.store.history(path, *(self.time(named[k]) if k in named else None for k in NAMED["history"]))
+            told = F.concat(F.lit('{"seq":'), F.col("seq"), F.lit(',"deleted":'), F.col("deleted"), F.lit(',"value":'), V.json_column(), F.lit("}"))
+            return rows.select("seq", "path", told.alias("json"))
+        return entity.reconstruct(self.store.snapshot(self.one_number(named, "until"), self.time(named["as_of"]) if "as_of" in named else None), path, self.compat)
+
+    def attribute_of(self, node: Any) -> tuple[str, str]:
+        """Base and attribute of ``base.*.attribute``, given as a pattern or its text."""
+        segments = self.resolved(node.segments) if isinstance(node, L.PathOf) else P.parse(str(self.scalar(node)))
+        at = segments.index(P.ONE) if P.ONE in segments else 0
+        if not 0 < at < len(segments) - 1 or P.has_wildcards(segments[:at] + segments[at + 1 :]):
+            raise InvalidOperation("Expected a pattern base.*.attribute")
+        return P.text_of(segments[:at]), P.text_of(segments[at + 1 :])
+
+    def relation(self, node: L.Call) -> DataFrame:
+        base, attribute = self.attribute_of(node.args[0])
+        if node.name == "related_of_related":
+            found = analysis.related_of_related(analysis.related(self.endpoints(), base, attribute))
+            return found.select("id", "other", F.to_json(F.struct("id", "other", "n")).alias("json"))
+        named = dict(node.named)
+        limit, least = self.one_number(named, "limit"), self.one_number(named, "min_similarity")
+        found = analysis.vector_search(self.endpoints(), base, attribute, self.numbers(node.args[1]), limit, -1.0 if least is None else least)
+        return found.select(F.monotonically_increasing_id().alias("place"), F.concat(F.lit(base + "."), "id").alias("entity"), "id", F.to_json(F.struct("id", "similarity")).alias("json"))
+
     def call(self, node: L.Call) -> Any:
+        if node.name in ("history", "snapshot"):
+            return self.past(node)
+        if node.name in ("vector_search", "related_of_related"):
+            return self.relation(node)
         if node.name == "now":
             return datetime.now(UTC).isoformat()
         if node.name == "uuid":

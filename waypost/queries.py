@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waypost import render
@@ -35,8 +35,12 @@ SQL: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder for a store, in the one that all executors share, where it is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="waypost-")
+    """A new folder for a store, in the one that all executors share; a temporary one only where all runs in one process (tests)."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="waypost-")
     return f"{at.rstrip('/')}/waypost/{label}-{uuid.uuid4().hex}"
 
 
@@ -375,14 +379,26 @@ def in_list(spark, sf_dir):
     return analysis.members(placed, "c_mktsegment", ["BUILDING", "MACHINERY"])
 
 
-@query("""WITH links AS (SELECT DISTINCT 'n-' || n_nationkey AS id, 'n-' || ((n_nationkey + k) % 25) AS other FROM nation, (VALUES (1), (3)) AS s(k)),
+TWO_AWAY = """WITH links AS (SELECT DISTINCT 'n-' || n_nationkey AS id, 'n-' || ((n_nationkey + k) % 25) AS other FROM nation, (VALUES (1), (3)) AS s(k)),
 two AS (SELECT a.id, b.other, count(*) AS n FROM links a JOIN links b ON a.other = b.id WHERE a.id <> b.other GROUP BY ALL)
-SELECT * FROM two WHERE NOT EXISTS (SELECT 1 FROM links WHERE links.id = two.id AND links.other = two.other)""")
-def related_of_related(spark, sf_dir):
+SELECT * FROM two WHERE NOT EXISTS (SELECT 1 FROM links WHERE links.id = two.id AND links.other = two.other)"""
+
+
+def _friends(spark, sf_dir) -> DataFrame:
     steps = F.explode(F.array(F.lit(1), F.lit(3))).alias("k")
     rows = table(spark, sf_dir, "nation").select("n_nationkey", steps).selectExpr("concat('nation.n-', n_nationkey, '.friends.[', k, ']') AS path", "concat('nation.n-', (n_nationkey + k) % 25) AS ref")
     told = rows.select("path", F.to_json(F.struct(F.lit("reference").alias("type"), F.col("ref").alias("path"))).alias("value"))
-    return analysis.related_of_related(analysis.related(S.from_json_text(told), "nation", "friends"))
+    return S.from_json_text(told)
+
+
+@query(TWO_AWAY)
+def related_of_related(spark, sf_dir):
+    return analysis.related_of_related(analysis.related(_friends(spark, sf_dir), "nation", "friends"))
+
+
+@query(f"""SELECT '{{"id":"' || id || '","other":"' || other || '","n":' || n || '}}' AS json FROM ({TWO_AWAY})""")
+def ql_related(spark, sf_dir):
+    return EndpointStore(spark, _friends(spark, sf_dir)).ql("{ return related_of_related(nation.*.friends) }").select("json")
 
 
 @query("SELECT 'part.p-' || p_partkey || '.p_size' AS path, CAST(p_size AS BIGINT) AS v_int FROM part WHERE CAST(p_partkey AS VARCHAR) LIKE '%7%' AND p_size > 40")
@@ -546,6 +562,23 @@ def ql_sums(spark, sf_dir):
     return spark.createDataFrame([(round(total, 2), round(mean, 4), least, spread)], "total double, mean double, least double, spread double")
 
 
+@query("SELECT row_number() OVER (ORDER BY c_acctbal DESC, 'c-' || c_custkey) AS nth, 'c-' || c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY nth LIMIT 20")
+def ql_sort(spark, sf_dir):
+    """A report of the 20 richest of a segment."""
+    store = EndpointStore(spark, endpoints(spark, sf_dir, "customer"))
+    found = store.ql('{ let found = customer where their.c_mktsegment == "BUILDING"; found = found.sort((a, b) => b.c_acctbal - a.c_acctbal); return found }')
+    return found.orderBy("place").limit(20).select(F.row_number().over(Window.orderBy("place")).alias("nth"), "id")  # a window over 20 rows
+
+
+@query("""SELECT 'v-' || vec_id AS id, round(list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))), 6) AS similarity
+FROM (SELECT vec_id, embedding::DOUBLE[] AS e, (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1) AS q FROM embeddings) WHERE similarity >= 0.2 ORDER BY 2 DESC, 1 LIMIT 10""")
+def ql_vector_search(spark, sf_dir):
+    first = table(spark, sf_dir, "embeddings").agg(F.min("vec_id")).first()[0]
+    store = EndpointStore(spark, endpoints(spark, sf_dir, "embeddings", ["embedding"]))
+    found = store.ql("{ return vector_search(embeddings.*.embedding, embeddings.v-%d.embedding, limit: 10, min_similarity: 0.2) }" % first)
+    return found.select("id", F.round(F.get_json_object("json", "$.similarity").cast("double"), 6).alias("similarity"))
+
+
 # values
 
 
@@ -616,6 +649,14 @@ def _kept(spark, sf_dir, label: str) -> EndpointStore:
     return EndpointStore.open(spark, at)
 
 
+@query("""SELECT '{"seq":1,"deleted":false,"value":"' || c_name || '"}' AS told, 'history' AS kind FROM customer WHERE c_custkey = 5 UNION ALL SELECT '{"seq":2,"deleted":false,"value":"someone"}', 'history' UNION ALL SELECT c_name, 'snapshot' FROM customer WHERE c_custkey = 5""")
+def ql_past(spark, sf_dir):
+    """History and a snapshot before a compaction, by the language."""
+    store = _kept(spark, sf_dir, "past")
+    before = spark.createDataFrame([(store.ql("{ return snapshot(customer.c-5.c_name, until: 1) }"), "snapshot")], "told string, kind string")
+    return store.ql("{ return history(customer.c-5.c_name) }").select(F.col("json").alias("told"), F.lit("history").alias("kind")).union(before)
+
+
 @query(f"{CHANGED} UNION ALL SELECT 'added.x.y', NULL")
 def persistent_store(spark, sf_dir):
     """Written, flushed, compacted, and opened again."""
