@@ -105,9 +105,10 @@ def repeats(docs: DataFrame, least_run: int = LEAST_RUN, least_words: int = LEAS
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), key.alias("key"), F.col(f"`{text_col}`").alias("text"))
     chunks = shared.written(rows.mapInArrow(chunker, "doc_id long, key long, start long, length int, digest long, words short, before short, after short"), "chunks")
     lowest = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    document = F.struct(lowest.alias("doc_id"), "key")
-    groups = chunks.groupBy("digest", "length").agg(F.min(document).alias("a"), F.max(document).alias("b"))
-    common = shared.written(groups.where("a != b").select("digest", "length", F.col("a.doc_id").alias("first")), "common")
+    ends = {f"{name}_{c}": of(x) for name, of in (("least", F.min), ("most", F.max)) for c, x in (("id", lowest), ("key", F.col("key")))}
+    groups = chunks.groupBy("digest", "length").agg(*[c.alias(name) for name, c in ends.items()])  # plain numbers, which are hashed and not sorted
+    several = "least_id != most_id OR least_key != most_key"
+    common = shared.written(groups.where(several).select("digest", "length", F.col("least_id").alias("first")), "common")
     columns = ["doc_id", "key", "start", "length", "words", "before", "after", "first"]
     found = chunks.join(common, ["digest", "length"]).select(*columns).groupBy("doc_id", "key", "start").agg(*[F.min(c).alias(c) for c in columns[3:]])  # repeated rows count once
     order = Window.partitionBy("doc_id", "key").orderBy("start")
