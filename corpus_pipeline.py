@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: five-word shingles, exact similarity of 0.8 or more (see ``neardup`` for why not by SimHash)."""
+    """Keeps one document of each group of near-duplicates: covering SimHash fingerprints, widened by MinHash, confirmed by an exact similarity of 0.8 or more of the five-word shingles."""
     return neardup.one_of_each(docs)
 
 

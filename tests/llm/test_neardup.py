@@ -125,3 +125,37 @@ def test_families_as_all_pairs(spark, limits):
         first.setdefault(r, i)
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(2)
     assert {r["doc_id"] for r in neardup.one_of_each(docs, **limits).collect()} == set(first.values())
+
+
+def test_covering_fingerprints_alone(spark):
+    """Without MinHash keys: groups of exactly the similar pairs whose fingerprints differ in 4 or fewer bits."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(25):
+        base = prose(rng, 400, 5000).split()
+        for n in (0, 1, 1, 2, 3, 5, 8):
+            words = list(base)
+            for i in rng.sample(range(400), n):
+                words[i] = f"x{rng.randrange(10_000)}"
+            texts.append(words)
+    texts = [" ".join(t) for t in texts] + ["", "two words", "Two  WORDS"]
+    bits = []
+    for t in texts:
+        hashes = [int(h) for h in neardup.shingle_set(t)]
+        bits.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    sets, root, apart = [shingles(t) for t in texts], list(range(len(texts))), 0
+    for i, j in combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            if (bits[i] ^ bits[j]).bit_count() > 4:
+                apart += 1
+            elif root[i] != root[j]:
+                root = [root[i] if r == root[j] else r for r in root]
+    first = {}
+    for i, r in enumerate(root):
+        first.setdefault(r, i)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    kept = lambda **how: {r["doc_id"] for r in neardup.one_of_each(docs, **how).collect()}
+    alone = kept(n_bands=0)
+    # the tables meet some pairs beyond the radius, too, but lose none within it
+    assert apart and alone <= set(first.values()) and len(alone) < 100
+    assert kept() <= alone and kept(n_bands=0, task_bucket=3) == alone

@@ -1,12 +1,16 @@
-"""Near-duplicates: exact Jaccard similarity of five-word shingles, found by MinHash.
-
-This is the stage of the pipeline, where covering fingerprints can't do: at a similarity of 0.8
-two SimHash fingerprints of 64 bits differ in 9.7 bits on average, with a deviation of 2.9, and to find nine in ten
-such pairs a covering of 13 bits needs 16,383 masks for each text.
-Candidates come from the shingles themselves: a text has ``BANDS`` keys, each of the
+"""Near-duplicates: SimHash by covering fingerprints as in ``simhash``, widened by MinHash, confirmed by the exact Jaccard similarity of five-word shingles.
+
+A text's fingerprint has a bit set where more than half of its shingles' hashes have
+it, and the masks of ``simhash`` cover every difference of up to ``RADIUS`` bits: two fingerprints within
+it agree under one of 31 masks at least, so these tables miss no such pair.
+A limit on the similarity reaches further than any radius that tables can cover: at a
+Jaccard similarity of 0.8 two fingerprints of 64 bits differ in 9.7 bits on average, with a deviation of 2.9,
+and to find nine in ten such pairs a covering of 13 bits needs 16,383 masks for each text.
+So beside its masked fingerprints a text has ``BANDS`` keys, each of the
 lowest values that ``ROWS`` hash functions take on its shingles.  Two texts of Jaccard
 similarity J agree in a key with probability J^ROWS, wherever they differ: at 0.8 a pair
-shares no key in 3 cases of a million, above in fewer.
+shares no key in 3 cases of a million, above in fewer.  Both kinds of keys make buckets
+alike; what follows does not tell them apart.
 
 Every link is confirmed by the shingle sets.  First each member of a bucket (band, key)
 is compared with the bucket's lowest.  A bucket of three and more members that these
@@ -29,8 +33,10 @@ from pyspark.sql import functions as F
 
 from . import components as cc
 from . import hashing as H
-from . import shared
+from . import shared, simhash
 
+#: Bits within which the fingerprints' tables miss no pair.
+RADIUS = 4
 BANDS, ROWS = 24, 4
 LEAST_SIMILARITY = 0.8
 WORDS = 5
@@ -55,33 +61,38 @@ def shingle_set(text):
     return np.unique(H.windows(H.word_hashes(data, starts, ends), min(WORDS, len(starts)))) if len(starts) else np.zeros(0, np.uint64)
 
 
-def banded(n_keys: int) -> Callable:
-    """Maps batches of key columns and a text to the keys, ``node`` (equal for equal shingle sets) and ``bands``, the keys of its buckets."""
+def fingerprint(found) -> int:
+    """SimHash of a shingle set; zero for none."""
+    return int(H.majority(found[None, :], [len(found)])[0])
+
+
+def banded(n_keys: int, n_bands: int = BANDS) -> Callable:
+    """Maps batches of key columns and a text to the keys, ``node`` (equal for equal shingle sets), ``fp``, the fingerprint, and ``bands``, the MinHash keys."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import xxhash
 
-        seeds = np.random.Generator(np.random.PCG64(23)).integers(1, 1 << 63, BANDS * ROWS).astype(np.uint64)[:, None]
+        seeds = np.random.Generator(np.random.PCG64(23)).integers(1, 1 << 63, n_bands * ROWS).astype(np.uint64)[:, None]
 
         def sketch(text):
             found = shingle_set(text)
-            least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+            least = np.full(n_bands * ROWS, (1 << 64) - 1, np.uint64)
             for i in range(0, len(found), STEP):
                 np.minimum(least, H.mixed(found[None, i : i + STEP] ^ seeds).min(axis=1), out=least)
-            keys = np.zeros(BANDS, np.uint64)
-            for row in least.reshape(BANDS, ROWS).T:
+            keys = np.zeros(n_bands, np.uint64)
+            for row in least.reshape(n_bands, ROWS).T:
                 keys = keys * H.BASE + row
-            return xxhash.xxh3_64_intdigest(found.tobytes()), H.mixed(keys)
+            return xxhash.xxh3_64_intdigest(found.tobytes()), fingerprint(found), H.mixed(keys)
 
         for batch in batches:
             for part in shared.slices(batch, n_keys, DOCS_AT_ONCE, BYTES_AT_ONCE):
                 found = [sketch(t) for t in part.column(n_keys).to_pylist()]
-                nodes = np.array([x[0] for x in found], np.uint64).view(np.int64)
-                flat = np.concatenate([x[1] for x in found]).view(np.int64)
-                bands = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * BANDS, pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*part.columns[:n_keys], pa.array(nodes), bands], [*part.schema.names[:n_keys], "node", "bands"])
+                nodes, fps = (np.array([x[i] for x in found], np.uint64).view(np.int64) for i in (0, 1))
+                flat = np.concatenate([x[2] for x in found]).view(np.int64)
+                bands = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * n_bands, pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*part.columns[:n_keys], pa.array(nodes), pa.array(fps), bands], [*part.schema.names[:n_keys], "node", "fp", "bands"])
 
     return run
 
@@ -154,10 +165,11 @@ def similar(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFra
     return two.select("a", "b", (both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9).alias("ok"))
 
 
-def roots_of(rows: DataFrame, docs: DataFrame, similarity: float, text_col: str, task_bucket: int, block_shingles: int) -> DataFrame:
-    """node, root of all nodes of ``rows`` (h1, h2, node, bands) that are not their group's root."""
-    distinct = shared.written(rows.groupBy("node").agg(F.min("bands").alias("bands"), F.min(F.struct("h1", "h2")).alias("x")), "distinct")
-    keyed = distinct.select("node", F.posexplode("bands").alias("t", "key"))
+def roots_of(rows: DataFrame, docs: DataFrame, similarity: float, text_col: str, task_bucket: int, block_shingles: int, radius: int) -> DataFrame:
+    """node, root of all nodes of ``rows`` (h1, h2, node, fp, bands) that are not their group's root."""
+    distinct = shared.written(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min(F.struct("h1", "h2")).alias("x")), "distinct")
+    masked = F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in simhash.masks(radius)])
+    keyed = distinct.select("node", F.posexplode(F.concat(masked, "bands")).alias("t", "key"))
     sums = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).where("n > 1")
     # buckets of the same members count once
     buckets = shared.written(sums.groupBy("n", "low", "x", "y").agg(F.min(F.struct("t", "key")).alias("k")).select("k.t", "k.key", "n", "low"), "buckets")
@@ -188,12 +200,15 @@ def roots_of(rows: DataFrame, docs: DataFrame, similarity: float, text_col: str,
     return roots if more.isEmpty() else cc.components(good.union(more))
 
 
-def one_of_each(docs: DataFrame, similarity: float = LEAST_SIMILARITY, id_col: str = "doc_id", text_col: str = "text", task_bucket: int = TASK_BUCKET, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """The rows of ``docs``, of each group of near-duplicates only the one of the lowest id (null is lowest)."""
+def one_of_each(docs: DataFrame, similarity: float = LEAST_SIMILARITY, id_col: str = "doc_id", text_col: str = "text", task_bucket: int = TASK_BUCKET, block_shingles: int = BLOCK_SHINGLES, radius: int = RADIUS, n_bands: int = BANDS) -> DataFrame:
+    """The rows of ``docs``, of each group of near-duplicates only the one of the lowest id (null is lowest).
+
+    ``n_bands`` 0: by the fingerprints within ``radius`` bits alone.
+    """
     keys = docs.select(F.col(f"`{id_col}`").alias("id"), shared.row_hash(docs, 1).alias("h1"), shared.row_hash(docs, 2).alias("h2"), F.col(f"`{text_col}`").alias("text"))
     kind = keys.schema["id"].dataType.simpleString()
-    rows = shared.written(keys.mapInArrow(banded(3), f"id {kind}, h1 long, h2 long, node long, bands array<long>"), "sketches")
-    roots = roots_of(rows, docs, similarity, text_col, task_bucket, block_shingles)
+    rows = shared.written(keys.mapInArrow(banded(3, n_bands), f"id {kind}, h1 long, h2 long, node long, fp long, bands array<long>"), "sketches")
+    roots = roots_of(rows, docs, similarity, text_col, task_bucket, block_shingles, radius)
     labelled = rows.join(roots, "node", "left").select("id", "h1", "h2", F.coalesce("root", "node").alias("label"))
     first = labelled.groupBy("label").agg(F.min(F.struct("id", "h1", "h2")).alias("x"))
     times = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"))
